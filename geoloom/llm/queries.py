@@ -86,7 +86,7 @@ WITH d AS (
 ), w AS (
   SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d)
 ), f AS (
-  SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
 ), hit AS (
   SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE f.first < w.doc_id
 ), part AS (
