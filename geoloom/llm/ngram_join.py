@@ -38,7 +38,7 @@ _U = np.uint64
 WORDS = 5
 COORDS = 48
 SMALL = 64
-BLOCK = 256
+BLOCK = 1024
 BRANCH = 2
 LEVELS = 6
 PACK_ROWS = 1500
@@ -108,7 +108,7 @@ def _roots(runs: int):
             sig = _signatures(b).astype(np.uint64)
             r = np.arange(runs)
             key = tc.mix(sig[:, r % COORDS] ^ (r.astype(np.uint64) << _U(40)) ^ _U(0x700D << 48))
-            yield pa.RecordBatch.from_arrays([pa.array(tc.unhex(key.ravel())), pa.array(np.repeat(b.column("rep").to_numpy(), runs))], ["path", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(tc.unhex(key.ravel())), pa.array(np.repeat(b.column("rep").to_numpy(), runs)), pa.array(np.repeat(b.column("copies").to_numpy(), runs))], ["path", "rep", "copies"])
 
     return go
 
@@ -128,28 +128,28 @@ def _follow(runs: int):
                 pick = tc.mix(path ^ _U(0xB0 + j))
                 c = first + (pick % _U(COORDS - first)).astype(np.int64)
                 keys.append(tc.mix(path ^ tc.mix(sig[np.arange(len(b)), c] ^ (_U(j + 1) << _U(40)))))
-            yield pa.RecordBatch.from_arrays([pa.array(tc.unhex(np.concatenate(keys))), pa.array(np.tile(b.column("rep").to_numpy(), BRANCH)), pa.array(np.tile(b.column("size").to_numpy(), BRANCH))], ["path", "rep", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(tc.unhex(np.concatenate(keys))), *(pa.array(np.tile(b.column(c).to_numpy(), BRANCH)) for c in ("rep", "copies", "size"))], ["path", "rep", "copies", "parent"])
 
     return go
 
 
 def _buckets(reps: DataFrame, runs: int) -> tuple[DataFrame, DataFrame | None]:
-    """(members of small buckets: path, rep; members of buckets that stay large: path, rep, size)."""
+    """(members of small buckets: path, rep, copies; members of buckets that stay large: path, rep, copies, size)."""
     small, dense = None, None
-    rows = reps.select("rep", "sig").mapInArrow(_roots(runs), "path long, rep long").withColumn("parent", F.lit(None).cast("long"))
+    rows = reps.select("rep", "copies", "sig").mapInArrow(_roots(runs), "path long, rep long, copies long").withColumn("parent", F.lit(None).cast("long"))
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         shared = common.kept(rows.join(sizes, "path"))
-        few = shared.where(F.col("size") <= SMALL).select("path", "rep")
+        few = shared.where(F.col("size") <= SMALL).select("path", "rep", "copies")
         small = few if small is None else small.unionByName(few)
         many = shared.where(F.col("size") > SMALL)
         stuck = F.lit(level == LEVELS) | (F.col("parent").isNotNull() & (F.col("size") * 2 >= F.col("parent")))
-        done = many.where(stuck).select("path", "rep", "size")
+        done = many.where(stuck).select("path", "rep", "copies", "size")
         dense = done if dense is None else dense.unionByName(done)
         more = many.where(~stuck)
         if level == LEVELS or more.isEmpty():
             break
-        rows = more.select("path", "rep", "size").join(reps.select("rep", "sig"), "rep").mapInArrow(_follow(runs), "path long, rep long, parent long")
+        rows = more.select("path", "rep", "copies", "size").join(reps.select("rep", "sig"), "rep").mapInArrow(_follow(runs), "path long, rep long, copies long, parent long")
     return small, dense
 
 
@@ -250,17 +250,17 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, k: int
     reps = common.kept(real.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", F.col("m.doc_id").alias("rep"), "copies", F.col("m.sig").alias("sig")))
     small, dense = _buckets(reps, runs)
     # Equal small buckets of several runs are one task.
-    lists = small.groupBy("path").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
-    tasks = lists.select(F.xxhash64("members").alias("task"), F.lit(0).alias("side"), F.explode("members").alias("rep"))
+    lists = small.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("rep", "copies"))).alias("members")).select("members").distinct()
+    tasks = lists.select(F.xxhash64("members").alias("task"), F.lit(0).alias("side"), F.explode("members").alias("m")).select("task", "side", "m.rep", F.col("m.copies").alias("size"))
     # Large buckets: equal ones once, then pairs of blocks.
     prints = dense.groupBy("path").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.count(F.lit(1)).alias("c")).groupBy("x", "c").agg(F.min("path").alias("path"))
-    cut = dense.join(prints.select("path"), "path", "left_semi").select("path", "rep", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    cut = dense.join(prints.select("path"), "path", "left_semi").select("path", "rep", "copies", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("rep", "path"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = cut.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep")
+    pairs = cut.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", F.col("copies").alias("size"))
     tasks = common.kept(tasks.unionByName(pairs))
     packs = max(8, -(-tasks.count() // PACK_ROWS))
     texts = base.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "rep")
-    full = tasks.join(reps.select("rep", F.col("copies").alias("size")), "rep").join(texts, "rep")
+    full = tasks.join(texts, "rep")
     found = common.kept(full.withColumn("pack", F.pmod("task", F.lit(packs))).groupBy("pack").applyInArrow(_verify(k, num, den), "rep long, star long, others array<long>, sizes array<long>"))
     labels = components(found.select(F.col("rep").alias("a"), F.col("star").alias("b")))
     linked = found.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("others", "sizes")))).alias("all")).select("rep", F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: acc + x["sizes"]).alias("linked"))
