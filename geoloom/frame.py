@@ -113,7 +113,7 @@ class GeoOps:
         s, m = self.series, kernels.method_name(method)
         if m == "haversine" and s.type.typed:
             return native.haversine_length(s.column, s.type.kind)
-        return kernels.column(lambda g: kernels.geodesic_length(g, m), "double", s.column, s.type.kind)
+        return kernels.geodesic_column(s.column, s.type.kind, m)
 
     @property
     def geom_type(self) -> Column:

@@ -51,11 +51,11 @@ def _zone(c: str):
 class _Cols:
     """The functions the formulas need, for columns or for numpy arrays."""
 
-    sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh = F.sin, F.cos, F.tan, F.atan, F.sinh, F.cosh, F.log, F.exp, F.sqrt, F.atan2, F.asinh, F.atanh
+    sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh, tanh = F.sin, F.cos, F.tan, F.atan, F.sinh, F.cosh, F.log, F.exp, F.sqrt, F.atan2, F.asinh, F.atanh, F.tanh
 
 
 class _Arrays:
-    sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh = np.sin, np.cos, np.tan, np.arctan, np.sinh, np.cosh, np.log, np.exp, np.sqrt, np.arctan2, np.arcsinh, np.arctanh
+    sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh, tanh = np.sin, np.cos, np.tan, np.arctan, np.sinh, np.cosh, np.log, np.exp, np.sqrt, np.arctan2, np.arcsinh, np.arctanh, np.tanh
 
 
 def _steps(source: str, target: str):
@@ -93,10 +93,9 @@ def _steps(source: str, target: str):
             tau = m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p))
             psi = m.asinh(tau)
             # Latitude from the conformal one by fixed-point steps (each shrinks the error by e^2).
-            s = tau / m.sqrt(1 + tau * tau)
+            lat = psi
             for _ in range(7):
-                lat = psi + _E * m.atanh(_E * s)
-                s = m.sinh(lat) / m.cosh(lat)
+                lat = psi + _E * m.atanh(_E * m.tanh(lat))
             return m.atan2(m.sinh(q), m.cos(p)) / deg + meridian, m.atan(m.sinh(lat)) / deg
 
         return back

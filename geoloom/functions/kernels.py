@@ -290,14 +290,22 @@ def geodesic(lon1, lat1, lon2, lat2) -> np.ndarray:
     return np.where(flat, A * lam, out)
 
 
+def geodesic_lengths(geoms: list, method: str = "geodesic") -> np.ndarray:
+    """Lengths of many geometries; the segments of all go through one vectorised call."""
+    ends, owner = [], []
+    for i, g in enumerate(geoms):
+        for r in _chains(g):
+            if len(r) > 1:
+                r = _xy(r)
+                ends.append(np.hstack([r[:-1], r[1:]]))
+                owner.append(np.full(len(r) - 1, i))
+    if not ends:
+        return np.zeros(len(geoms))
+    return np.bincount(np.concatenate(owner), METHODS[method](*np.concatenate(ends).T), len(geoms))
+
+
 def geodesic_length(geom, method: str = "geodesic") -> float:
-    f = METHODS[method]
-    out = 0.0
-    for r in _chains(geom):
-        r = _xy(r)
-        if len(r) > 1:
-            out += float(f(r[:-1, 0], r[:-1, 1], r[1:, 0], r[1:, 1]).sum())
-    return out
+    return float(geodesic_lengths([geom], method)[0])
 
 
 def _haversine(lon1, lat1, lon2, lat2):
@@ -368,6 +376,22 @@ def column(f, returns: str, g: Column, kind: str, *more: tuple[Column, str]) ->
     return run(*wrapped)
 
 
+def geodesic_column(g: Column, kind: str, method: str) -> Column:
+    """Geodesic lengths, a batch at a time."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        out = np.full(len(s), np.nan, object)
+        out[:] = None
+        at = [i for i, v in enumerate(s) if v is not None]
+        got = geodesic_lengths([codec.from_storage(kind, (v[0] if kind == "point" else _lists(v) if kind not in ("wkb", "wkt") else v)) for v in (s.iloc[i] for i in at)], method)
+        for i, x in zip(at, got, strict=True):
+            out[i] = float(x)
+        return pd.Series(out, dtype=object)
+
+    return run(F.array(g) if kind == "point" else g)
+
+
 def _lists(v):
     return [_lists(x) for x in v] if isinstance(v, (list, np.ndarray)) else v
 
