@@ -49,12 +49,21 @@ def _zone(c: str):
 
 
 class _Cols:
-    """The functions the formulas need, for columns or for numpy arrays."""
+    """The functions the formulas need, for columns or for numpy arrays; pair names two values so they are computed once."""
+
+    @staticmethod
+    def pair(a, b, body):
+        out = native.let(F.struct(a.alias("u"), b.alias("v")), lambda s: F.struct(*[c.alias(n) for c, n in zip(body(s["u"], s["v"]), "xy", strict=True)]))
+        return out["x"], out["y"]
 
     sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh, tanh = F.sin, F.cos, F.tan, F.atan, F.sinh, F.cosh, F.log, F.exp, F.sqrt, F.atan2, F.asinh, F.atanh, F.tanh
 
 
 class _Arrays:
+    @staticmethod
+    def pair(a, b, body):
+        return body(a, b)
+
     sin, cos, tan, atan, sinh, cosh, log, exp, sqrt, atan2, asinh, atanh, tanh = np.sin, np.cos, np.tan, np.arctan, np.sinh, np.cosh, np.log, np.exp, np.sqrt, np.arctan2, np.arcsinh, np.arctanh, np.tanh
 
 
@@ -73,30 +82,39 @@ def _steps(source: str, target: str):
         def forward(m, x, y):
             s, lam = m.sin(y * deg), (x - meridian) * deg
             t = m.sinh(m.atanh(s) - _E * m.atanh(_E * s))
-            xi, eta = m.atan2(t, m.cos(lam)), m.asinh(m.sin(lam) / m.sqrt(t * t + m.cos(lam) * m.cos(lam)))
-            e, n = eta, xi
-            for j, a in enumerate(_ALPHA, 1):
-                e = e + m.cos(2 * j * xi) * m.sinh(2 * j * eta) * a
-                n = n + m.sin(2 * j * xi) * m.cosh(2 * j * eta) * a
-            return e * (0.9996 * _RECT) + 500000.0, n * (0.9996 * _RECT) + north
+
+            def grid(xi, eta):
+                e, n = eta, xi
+                for j, a in enumerate(_ALPHA, 1):
+                    e = e + m.cos(2 * j * xi) * m.sinh(2 * j * eta) * a
+                    n = n + m.sin(2 * j * xi) * m.cosh(2 * j * eta) * a
+                return e * (0.9996 * _RECT) + 500000.0, n * (0.9996 * _RECT) + north
+
+            return m.pair(m.atan2(t, m.cos(lam)), m.asinh(m.sin(lam) / m.sqrt(t * t + m.cos(lam) * m.cos(lam))), grid)
 
         return forward
     if target == "EPSG:4326" and _zone(source):
         meridian, north = _zone(source)
 
         def back(m, x, y):
-            xi, eta = (y - north) / (0.9996 * _RECT), (x - 500000.0) / (0.9996 * _RECT)
-            p, q = xi, eta
-            for j, b in enumerate(_BETA, 1):
-                p = p - m.sin(2 * j * xi) * m.cosh(2 * j * eta) * b
-                q = q - m.cos(2 * j * xi) * m.sinh(2 * j * eta) * b
-            tau = m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p))
-            psi = m.asinh(tau)
-            # Latitude from the conformal one by fixed-point steps (each shrinks the error by e^2).
-            lat = psi
-            for _ in range(7):
-                lat = psi + _E * m.atanh(_E * m.tanh(lat))
-            return m.atan2(m.sinh(q), m.cos(p)) / deg + meridian, m.atan(m.sinh(lat)) / deg
+            def sphere(xi, eta):
+                p, q = xi, eta
+                for j, b in enumerate(_BETA, 1):
+                    p = p - m.sin(2 * j * xi) * m.cosh(2 * j * eta) * b
+                    q = q - m.cos(2 * j * xi) * m.sinh(2 * j * eta) * b
+                return m.pair(p, q, angles)
+
+            def angles(p, q):
+                psi = m.asinh(m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p)))
+                return m.pair(m.atan2(m.sinh(q), m.cos(p)) / deg + meridian, psi, latitude)
+
+            def latitude(lon, psi):
+                lat = psi  # from the conformal latitude by fixed-point steps, each of which shrinks the error by e^2
+                for _ in range(7):
+                    lat = psi + _E * m.atanh(_E * m.tanh(lat))
+                return lon, m.atan(m.sinh(lat)) / deg
+
+            return m.pair((y - north) / (0.9996 * _RECT), (x - 500000.0) / (0.9996 * _RECT), sphere)
 
         return back
     return None
