@@ -269,21 +269,24 @@ def geodesic(lon1, lat1, lon2, lat2) -> np.ndarray:
     ep2 = (A**2 - B**2) / B**2
     lo, hi = np.zeros_like(lam), np.full_like(lam, np.pi)
     flo, fhi = -lam, np.pi - lam
-    x, side = lo.copy(), np.zeros(lam.shape, int)
+    side = np.zeros(lam.shape, int)
+    best, miss = lo.copy(), np.full_like(lam, np.inf)
     for k in range(80):
         with np.errstate(divide="ignore", invalid="ignore"):
             x = (lo * fhi - hi * flo) / (fhi - flo)
         x = np.where(np.isfinite(x) & (x >= lo) & (x <= hi) & (k % 4 < 3), x, (lo + hi) / 2)
         f = _arc(x, be1, be2, ep2)[0] - lam
+        near = np.abs(f) < miss
+        best, miss = np.where(near, x, best), np.where(near, np.abs(f), miss)
         left = f < 0
         # A bound kept twice counts half.
         fhi = np.where(left, np.where(side == -1, fhi / 2, fhi), f)
         flo = np.where(left, f, np.where(side == 1, flo / 2, flo))
         lo, hi = np.where(left, x, lo), np.where(left, hi, x)
         side = np.where(left, -1, 1)
-        if (np.abs(f) < 1e-15).all() or ((hi - lo) < 1e-15).all():
+        if (miss < 1e-15).all() or ((hi - lo) < 1e-15).all():
             break
-    x = np.where(lam == 0, 0.0, np.where(lam >= np.pi, np.where(fhi == 0, hi, x), x))
+    x = np.where(lam == 0, 0.0, best)
     out = B * _arc(x, be1, be2, ep2)[1]
     # Along the equator, short of the point where shorter ways over the poles begin.
     flat = (p1 == 0) & (p2 == 0) & (lam <= (1 - FLAT) * np.pi)
