@@ -14,8 +14,8 @@ document, or the copy does not count. A document is contaminated by an item if c
 cover at least `coverage` of the item's own windows and at least LEAST of them (all, if the item has
 fewer).
 
-Defined cases: null or empty texts and items match nothing; an item with fewer than LITERALS plain words
-or WINDOW tokens is matched whole if it has at least LITERALS tokens, else never; repeated rows of a doc_id
+Defined cases: null or empty texts and items match nothing; an item with fewer than WINDOW tokens
+is matched whole if it has at least SHORTEST, and one without a window of LITERALS plain words never; repeated rows of a doc_id
 are one document; a null doc_id or item_id is left out (and in `clean` such rows stay); extra
 columns do not matter.
 """
@@ -31,7 +31,8 @@ from . import textcore as tc
 
 _U = np.uint64
 WINDOW = 8
-LITERALS = 5
+LITERALS = 3
+SHORTEST = 5
 LEAST = 4
 MAP_BITS = 24  # bits of the broadcast bitmap: 2 MB whatever the benchmark
 MAX_SLOTS = 8
@@ -132,10 +133,6 @@ def windows(t: np.ndarray, v: np.ndarray, ptr: np.ndarray, size: int) -> tuple[n
     return idx, h
 
 
-def _sizes(ptr: np.ndarray) -> set[int]:
-    return {int(n) for n in np.diff(ptr) if LITERALS <= n < WINDOW}
-
-
 def _benchmark_windows(batches):
     for b in batches:
         cols = {"item_id": [], "at": [], "size": [], "win": [], "slots": []}
@@ -145,7 +142,7 @@ def _benchmark_windows(batches):
             for i in range(len(off) - 1):
                 n = ptr[i + 1] - ptr[i]
                 size = WINDOW if n >= WINDOW else n
-                if size < LITERALS:
+                if size < SHORTEST:
                     continue
                 own = slice(ptr[i], ptr[i + 1])
                 idx, h = windows(t[own], v[own], np.array([0, n]), int(size))

@@ -1,0 +1,277 @@
+"""Edge cases of every operator, and brute-force comparisons."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from geoloom.llm import chat, decontaminate, lang_id, lm_score, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from geoloom.llm import textcore as tc
+
+from .fixtures import SCHEMA, awkward
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(awkward(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (3, 0, 1), (99, 1, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return df.collect()
+
+
+def test_all_survive_awkward_and_empty_tables(spark, odd, none, labels):
+    bench = spark.createDataFrame([(1, " ".join(f"alpha{i}" for i in range(20, 50))), (2, None), (None, "x"), (3, ""), (4, "a b")], "item_id long, text string")
+    for docs, n in ((odd, 14), (none, 0)):
+        for df in (quality.quality(docs, labels), toxicity.toxicity(docs, labels), lang_id.language(docs), lm_score.score(docs), ngram_join.join(docs), suffix_dedup.dedup(docs), pii.pseudonymise(docs), mixing.mix(docs)):
+            assert len(rows(df)) == n
+        assert decontaminate.contaminated(docs, bench.where("item_id = -1")).count() == 0
+        assert decontaminate.contaminated(none, bench).count() == 0
+    hit = rows(decontaminate.contaminated(odd, bench))
+    assert {r["doc_id"] for r in hit} == {1, 2, 3}
+    assert decontaminate.clean(odd, bench).count() == 11
+
+
+def test_quality_base_by_hand(spark, odd, labels):
+    for r in rows(quality.quality(odd.where("doc_id in (9, 12)"), labels)):
+        if r["doc_id"] == 9:
+            assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (30000, 30000, True)
+        else:
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["kept"]) == (2, 10, 0, False)
+
+
+@given(st.lists(st.text(alphabet="ab \n#\t", max_size=60), min_size=1, max_size=5))
+def test_quality_base_brute(texts):
+    for _, _, data, off in tc.chunks(pa.array(texts, pa.large_string())):
+        base, _ = quality.statistics(data, off)
+        for t, got in zip(texts, base, strict=True):
+            w = WORD.findall(t)
+            seen, dup = set(), 0
+            for line in t.split("\n"):
+                if WORD.search(line):
+                    dup += line in seen
+                    seen.add(line)
+            c = collections.Counter(zip(w, w[1:], w[2:]))
+            cover = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for k in range(3)}
+            assert got.tolist() == [len(w), sum(map(len, w)), t.count("#"), dup, len(cover)]
+
+
+def test_quality_and_toxicity_accuracy(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    q = {r["doc_id"]: r["kept"] for r in rows(quality.quality(d, lab))}
+    got = collections.Counter((r["quality"], q[r["doc_id"]]) for r in rows(lab) if r["doc_id"] in q)
+    assert got[0, True] <= 0.1 * (got[0, True] + got[0, False])
+    lang = {r["doc_id"]: r["lang"] for r in rows(d.select("doc_id", "lang"))}
+    held = [r for r in rows(lang_id.language(d)) if r["held_out"]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
+    assert np.mean([r["rejected"] for r in held]) < 0.01
+
+
+def test_toxicity_learns():
+    rng = np.random.default_rng(0)
+    say = lambda bad: " ".join(rng.choice([f"w{i}" for i in range(300)], 60).tolist() + ["vile"] * bad)
+    y = [int(i % 4 == 0) for i in range(400)]
+    m = toxicity.train([say(v) for v in y], y, ["en"] * 400)
+    p = np.concatenate([m.scores(d, o) for _, _, d, o in tc.chunks(pa.array([say(0), say(1), ""], pa.large_string()))])
+    assert p[1] > 0.5 > max(p[0], p[2])
+
+
+def test_lm_base_is_exact(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in rows(d)}
+    tok = {i: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t)] + [None] for i, t in texts.items()}
+    c = collections.Counter(w for i, ws in tok.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in rows(lm_score.score(d)):
+        ws = tok[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert math.isfinite(r["score"]) and r["score"] < 0
+
+
+def test_count_filter():
+    keys = tc.seeded(77, 3000)
+    counts = np.random.default_rng(1).integers(2, 5000, 3000).astype(np.uint64)
+    bits = np.zeros((lm_score.SUBS, 1024 // 8), np.uint8)
+    for s in range(lm_score.SUBS):
+        mine = (keys >> np.uint64(58)) == s
+        t = lm_score._fill(10, 2)((pa.scalar(s),), pa.table({"blob": [np.stack([keys[mine], counts[mine]]).tobytes()]}))
+        bits[s] = np.frombuffer(t.column("bits")[0].as_py(), np.uint8)
+    f = lm_score.CountFilter(bits.ravel(), 10, 2)
+    assert (f.level(keys) >= lm_score._levels(counts, 2)).all()  # a Bloom filter never forgets
+
+
+@given(st.lists(st.integers(0, 2**63), min_size=1, max_size=50, unique=True))
+def test_packed_keys(keys):
+    k = np.sort(np.array(keys, np.uint64))
+    c = np.arange(len(k)).astype(np.uint64) * 7
+    a, b = lm_score.decode(lm_score.encode(k, c))
+    assert (a == k).all() and (b == c).all()
+
+
+def shingles(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_join_brute(spark, odd):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.where("doc_id is not null and doc_id <> 9").selectExpr("doc_id + 100000 AS doc_id", "text"))
+    s = {r["doc_id"]: shingles(r["text"]) for r in rows(d)}
+    ids = sorted(s)
+    near = collections.defaultdict(set)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            m = len(s[a] & s[b])
+            if m and 10 * m >= 8 * len(s[a] | s[b]):
+                near[a].add(b)
+                near[b].add(a)
+    for r in rows(ngram_join.join(d)):
+        todo, seen = [r["doc_id"]], {r["doc_id"]}
+        while todo:
+            for b in near[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        assert (r["n_links"], r["class_id"]) == (len(near[r["doc_id"]]), min(seen))
+
+
+def test_join_large_groups(spark):
+    """Groups above the block size, by the blocked path."""
+    old = ngram_join.SMALL, ngram_join.BLOCK
+    ngram_join.SMALL, ngram_join.BLOCK = 4, 8
+    try:
+        base = [f"w{i}" for i in range(120)]
+        docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(30) for k in [i * 3 + 5]]
+        got = rows(ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")))
+        s = {i: shingles(t) for i, t in docs}
+        for r in got:
+            want = sum(10 * len(s[r["doc_id"]] & x) >= 8 * len(s[r["doc_id"]] | x) for j, x in s.items() if j != r["doc_id"])
+            assert r["n_links"] == want and r["class_id"] == 0
+    finally:
+        ngram_join.SMALL, ngram_join.BLOCK = old
+
+
+def brute_dedup(docs, span):
+    first = {}
+    for i, t in sorted(docs):
+        b = t.encode()
+        for k in range(len(b) - span + 1):
+            first.setdefault(b[k : k + span], i)
+    out = {}
+    for i, t in docs:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - span + 1):
+            if first[b[k : k + span]] < i:
+                gone[k : k + span] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[i] = (len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_dedup_brute(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abé "), rng.integers(2, 6)))
+    passages = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    docs = [(i, " ".join(passages[rng.integers(6)] if rng.random() < 0.3 else word() for _ in range(20))) for i in range(60)]
+    docs += [(100 + i, docs[i][1]) for i in range(5)] + [(200, ""), (201, "a" * 300), (202, "a" * 120), (203, "ab" * 40)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in rows(suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert got == brute_dedup(docs, 50)
+
+
+@given(st.lists(st.binary(min_size=50, max_size=50).map(lambda b: bytes(x % 2 for x in b)) | st.sampled_from([bytes(50), bytes(49) + b"\1", bytes(30) + b"\1" * 20]), min_size=1, max_size=12))
+def test_sorting_is_right(strings):
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    order, new = suffix_dedup.sort_suffixes(text, np.arange(len(strings)) * 50, 50)
+    ordered = [strings[i] for i in order]
+    assert ordered == sorted(strings)
+    assert [bool(x) for x in new] == [i == 0 or ordered[i] != ordered[i - 1] for i in range(len(ordered))]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[INST]"]), st.text(alphabet="a\\ é\n", max_size=8) | st.sampled_from(["</s>", "[INST] x [/INST]", "\\</s>", "\\\\", " <|text|> ", "<s> </s>"])), max_size=5))
+def test_chat_round_trip(turns):
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns
+    assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+
+
+def test_chat_nulls_and_ties(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, None, "x"), (1, 1, "assistant", None), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in rows(chat.digests(chat.format_chat(df)))}
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 0 and got[None]["n_turns"] == 1
+
+
+def test_decontamination_of_reparameterised_questions(spark):
+    q = "A shop sells 12 apples to Mary each day and 7 pears to John, then Mary returns 12 apples because the apples weigh 3 kg too much."
+    same = q.replace("Mary", "Petra").replace("12", "45").replace("3 kg", "9 kg").replace("John", "Omar")
+    mixed = q.replace("then Mary", "then John").replace("returns 12", "returns 7")
+    other = "Nothing here resembles the question at all, it is only a plain text about trees and rivers and hills and more of them."
+    docs = spark.createDataFrame([(1, f"Intro words first. {q} Outro."), (2, f"Lorem. {same} Ipsum."), (3, mixed), (4, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, q)], "item_id long, text string")
+    assert {r["doc_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1, 2}
+
+
+def test_pii_against_python(spark):
+    def digest(kind, i, half):
+        return hashlib.sha256(f"{pii.KEY}|{kind}|{i}|{half}".encode()).hexdigest()
+
+    def permuted(x, a, b, kind):
+        l, r = divmod(x, b)
+        for i in range(pii.ROUNDS):
+            if i % 2:
+                r = (r + int(digest(kind, i, l)[:12], 16)) % b
+            else:
+                l = (l + int(digest(kind, i, r)[:12], 16)) % a
+        return l * b + r
+
+    def luhn(s):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+    card = "4111111111111111"
+    df = spark.createDataFrame([(1, f"{card} 10.0.0.1 +1 (499) 555-6503 2024-02-29 {card[:-1]}2"), (2, f"again {card}!! 2024-02-29. a.b@x.org and a.b@x.org")], "doc_id long, text string")
+    one, two = (r["text"] for r in sorted(rows(pii.pseudonymise(df)), key=lambda r: r["doc_id"]))
+    c, ip, plus, area, rest, day, bad = one.split(" ")
+    assert luhn(c) and int(c[:-1]) == permuted(int(card[:-1]), 10**7, 10**8, "card")
+    assert [int(x) for x in ip.split(".")] == list(permuted(10 * 2**24 + 1, 65536, 65536, "ip").to_bytes(4, "big"))
+    assert re.sub(r"\D", "", area + rest) == f"{permuted(4995556503, 10**5, 10**5, 'phone'):010d}" and plus == "+1"
+    assert bad == card[:-1] + "2"
+    assert two.startswith(f"again {c}!! {day}. ") and len(set(re.findall(r"\S+@x\.org", two))) == 1 and "a.b@" not in two
+    seen = {permuted(i, 7, 11, "t") for i in range(77)}
+    assert seen == set(range(77))
+
+
+def test_mixing_windows_and_lag(spark):
+    docs = spark.createDataFrame([(i, None if i % 50 == 0 else f"s{min(i % 11, 4)}") for i in range(3000)], "doc_id long, source string")
+    weights = {"s0": 3, "s1": 5, "s2": 7, "s3": 11, "s4": 2, "": 1}
+    got = rows(mixing.mix(docs, weights, block_docs=2))
+    assert len(got) == 3000 and all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["mix_slot"], (r["source"], r["mix_block"])) == (r["source"], r["mix_block"])
+    # While all sources run, every prefix is within one block of the targets.
+    q, count = sum(weights.values()), collections.Counter()
+    sizes = collections.Counter(r["source"] for r in got)
+    rounds = min(-(-(-(-n // 2)) // weights[s or ""]) for s, n in sizes.items()) - 1
+    for t in range(rounds * q):
+        count[slots[t][0]] += 1
+        for s in sizes:
+            assert abs(count[s] - (t + 1) * weights[s or ""] / q) < 1
