@@ -38,7 +38,10 @@ def _agg(s, d):
 
 
 _EV = "SELECT event_id, user_id, ts, value FROM events"
-_w = W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _w():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def _ev(s, d):
@@ -64,8 +67,8 @@ QUERIES = {
     "rel_cube": (lambda s, d: _t(s, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
     "rel_collect": (lambda s, d: _t(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("names")), "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
     "rel_window_rank": (lambda s, d: (w := W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")) and _t(s, d, "customer").select("c_custkey", F.row_number().over(w).alias("rn"), F.rank().over(W.partitionBy("c_nationkey").orderBy("c_mktsegment")).alias("rk"), F.dense_rank().over(W.partitionBy("c_nationkey").orderBy("c_mktsegment")).alias("dr")), "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS rk, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS dr FROM customer"),
-    "rel_window_lag": (lambda s, d: _ev(s, d).select("event_id", F.lag("event_id").over(_w).alias("before"), F.lead("event_id", 2).over(_w).alias("after"), F.first("event_id").over(_w).alias("first")), f"SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after, first_value(event_id) OVER w AS first FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
-    "rel_window_frame": (lambda s, d: _ev(s, d).select("event_id", F.count("event_id").over(_w.rowsBetween(-2, 0)).alias("n"), F.max("value").over(_w.rowsBetween(-2, 2)).alias("hi"), F.sum("event_id").over(_w.rowsBetween(W.unboundedPreceding, 0)).alias("run")), f"SELECT event_id, count(event_id) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hi, CAST(sum(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "rel_window_lag": (lambda s, d: _ev(s, d).select("event_id", F.lag("event_id").over(_w()).alias("before"), F.lead("event_id", 2).over(_w()).alias("after"), F.first("event_id").over(_w()).alias("first")), f"SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after, first_value(event_id) OVER w AS first FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "rel_window_frame": (lambda s, d: _ev(s, d).select("event_id", F.count("event_id").over(_w().rowsBetween(-2, 0)).alias("n"), F.max("value").over(_w().rowsBetween(-2, 2)).alias("hi"), F.sum("event_id").over(_w().rowsBetween(W.unboundedPreceding, 0)).alias("run")), f"SELECT event_id, count(event_id) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hi, CAST(sum(event_id) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
     "rel_time_window": (lambda s, d: _ev(s, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "rel_topk": (lambda s, d: _t(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20"),
     "rel_union": (lambda s, d: (c := _t(s, d, "customer").select(F.col("c_nationkey").alias("k"))).unionByName(_t(s, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier"),
