@@ -8,7 +8,8 @@ other numbers, names and units hashes alike and one whose slots are mixed up doe
 
 A fixed-size bitmap of the benchmark's window hashes is broadcast and thins out the documents'
 windows; a hash join with the benchmark's windows decides. A window that several items share belongs to
-the smallest item_id, so a phrase common to a whole benchmark is one row a match. Matches of a document and item at
+the one with the fewest windows (of these, the smallest item_id), so an excerpt that is an item of its own keeps its
+windows and a phrase common to a whole benchmark is one row a match. Matches of a document and item at
 one offset are a copy; within a copy every slot value of the item must have one value in the
 document, or the copy does not count. A document is contaminated by an item if consistent copies
 cover at least `coverage` of the item's own windows and at least LEAST of them (all, if the item has
@@ -135,7 +136,7 @@ def windows(t: np.ndarray, v: np.ndarray, ptr: np.ndarray, size: int) -> tuple[n
 
 def _benchmark_windows(batches):
     for b in batches:
-        cols = {"item_id": [], "at": [], "size": [], "win": [], "slots": []}
+        cols = {"item_id": [], "at": [], "size": [], "win": [], "slots": [], "n": []}
         for a, _, data, off in tc.chunks(b.column("text")):
             t, v, ptr = template(data, off)
             items = b.column("item_id").to_numpy()[a:]
@@ -151,8 +152,9 @@ def _benchmark_windows(batches):
                     cols["at"].append(int(at))
                     cols["size"].append(int(size))
                     cols["win"].append(int(x.view(np.int64)))
+                    cols["n"].append(len(idx))
                     cols["slots"].append([int(s) for s in tc.unhex(v[own][at : at + size])])
-        yield pa.RecordBatch.from_arrays([pa.array(cols["item_id"], pa.int64()), pa.array(cols["at"], pa.int64()), pa.array(cols["size"], pa.int32()), pa.array(cols["win"], pa.int64()), pa.array(cols["slots"], pa.list_(pa.int64()))], list(cols))
+        yield pa.RecordBatch.from_arrays([pa.array(cols["item_id"], pa.int64()), pa.array(cols["at"], pa.int64()), pa.array(cols["size"], pa.int32()), pa.array(cols["win"], pa.int64()), pa.array(cols["slots"], pa.list_(pa.int64())), pa.array(cols["n"], pa.int32())], list(cols))
 
 
 def _bitmap(batches):
@@ -190,9 +192,9 @@ def _thinned(shared):
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_items) of contaminated documents; item_id is the best covered."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    made = items.mapInArrow(_benchmark_windows, "item_id long, at long, size int, win long, slots array<long>")
-    # The smallest item owns a window; a window repeated in an item stands for its first place.
-    owned = made.groupBy("win").agg(F.min(F.struct("item_id", "at", "size", "slots")).alias("o")).select("win", "o.item_id", F.col("o.at").alias("item_at"), F.col("o.size").alias("size"), F.col("o.slots").alias("item_slots"))
+    made = items.mapInArrow(_benchmark_windows, "item_id long, at long, size int, win long, slots array<long>, n int")
+    # The item with the fewest windows owns a window; a window repeated in an item stands for its first place.
+    owned = made.groupBy("win").agg(F.min(F.struct("n", "item_id", "at", "size", "slots")).alias("o")).select("win", "o.item_id", F.col("o.at").alias("item_at"), F.col("o.size").alias("size"), F.col("o.slots").alias("item_slots"))
     bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
     for r in owned.select("win").coalesce(8).mapInArrow(_bitmap, "bits binary").collect():
         bits |= np.frombuffer(r["bits"], np.uint8)

@@ -230,6 +230,14 @@ def test_decontamination_of_reparameterised_questions(spark):
     assert {r["doc_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1, 2}
 
 
+def test_decontamination_of_an_excerpt(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    short = " ".join(long.split()[50:75])
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {short} after"), (2, long), (3, "before and after"), (4, " ".join(long.split()[:70]))], "doc_id long, text string")
+    assert {r["doc_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1, 2, 4}
+
+
 def test_pii_against_python(spark):
     def digest(kind, i, half):
         return hashlib.sha256(f"{pii.KEY}|{kind}|{i}|{half}".encode()).hexdigest()
