@@ -96,6 +96,14 @@ def test_toxicity_learns():
     assert p[1] > 0.5 > max(p[0], p[2])
 
 
+def test_toxicity_held_out(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in rows(lab)}
+    got = collections.Counter((toxic[r["doc_id"]], r["predicted"]) for r in rows(toxicity.toxicity(d, lab)) if r["held_out"] and r["doc_id"] in toxic)
+    assert got[1, 1] >= 0.8 * (got[1, 1] + got[1, 0])
+    assert got[0, 1] <= 0.01 * (got[0, 1] + got[0, 0])
+
+
 def test_lm_base_is_exact(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in rows(d)}
