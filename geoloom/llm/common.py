@@ -30,11 +30,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect plans nobody holds, so that their shuffle files go now and not at some later time."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; one pass over one column."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column))), F.lit(0)).alias("b")).first()["b"]

@@ -326,8 +326,6 @@ def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000) -> DataFra
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     counted = dealt.groupBy("block").applyInArrow(_count_block(buckets), "bucket int, block int, kind int, blob binary")
     reduced = common.kept(counted.groupBy("bucket").applyInArrow(_add_up, _REDUCED))
-    del counted  # counted and checkpointed: its shuffles of texts are not needed again
-    common.release(docs.sparkSession)
     hist = reduced.where(F.col("kind") == HIST).select("tokens", "types", "blob")
     total = hist.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
