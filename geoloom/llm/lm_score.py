@@ -2,9 +2,9 @@
 
 Counting. Documents are dealt into blocks by a hash; a block sends each of its distinct words and
 word pairs once, with its count, to the bucket of the word's hash; a bucket adds up the counts and
-answers each block with the totals of the block's own words. So the exact word counts reach the
-documents without a broadcast vocabulary, and a word that a third of all documents use is one entry
-a block.
+answers each block with the totals of the block's own words, in the order of their hashes, which the
+block knows itself. So the exact word counts reach the documents without a broadcast vocabulary, and
+a word that a third of all documents use is one entry a block.
 
 Model. Words and pairs seen at least `tau` times enter a Bloom filter once for each level
 1..q of their logarithmically quantised count (base sqrt 2, level 1 at tau; Talbot and Osborne
@@ -44,24 +44,31 @@ _PROBE = tc.seeded(12, 16) | _U(1)
 
 
 # ---- packed sorted keys ------------------------------------------------------------------------
+def _planes(a: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, compressed; headed by the planes' number and size."""
+    w = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    raw = np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes()
+    body = pa.compress(raw, codec="zstd", asbytes=True)
+    return w.to_bytes(1, "little") + len(raw).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body
+
+
+def _unplaned(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """(the numbers that start at a place, the place after them)."""
+    w, size, held = blob[at], int.from_bytes(blob[at + 1 : at + 9], "little"), int.from_bytes(blob[at + 9 : at + 17], "little")
+    raw = np.frombuffer(pa.decompress(blob[at + 17 : at + 17 + held], size, codec="zstd"), np.uint8)
+    a = np.zeros((size // w, 8), np.uint8)
+    a[:, :w] = raw.reshape(w, -1).T
+    return a.view(np.uint64).ravel(), at + 17 + held
+
+
 def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted distinct keys as byte planes of their gaps, then planes of counts (which the shuffle's compression shrinks)."""
-    gap = np.diff(keys, prepend=_U(0))
-    width = [max(1, (int(a.max()).bit_length() + 7) // 8) for a in (gap, counts)]
-    planes = [np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in zip((gap, counts), width, strict=True)]
-    return bytes(width) + b"".join(planes)
+    """Sorted distinct keys as their gaps, then the counts."""
+    return _planes(np.diff(keys, prepend=_U(0))) + _planes(counts)
 
 
 def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wk, wc = blob[0], blob[1]
-    n = (len(blob) - 2) // (wk + wc)
-    raw = np.frombuffer(blob, np.uint8, offset=2)
-    out = []
-    for at, w in ((0, wk), (wk * n, wc)):
-        a = np.zeros((n, 8), np.uint8)
-        a[:, :w] = raw[at : at + w * n].reshape(w, n).T
-        out.append(a.view(np.uint64).ravel())
-    return np.cumsum(out[0], dtype=np.uint64), out[1]
+    gap, at = _unplaned(blob)
+    return np.cumsum(gap, dtype=np.uint64), _unplaned(blob, at)[0]
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +138,8 @@ def _count_block(buckets: int):
     return run
 
 
-_REDUCED = "kind int, block int, tokens long, types long, blob binary"
-_REDUCED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
+_REDUCED = "kind int, block int, bucket int, tokens long, types long, blob binary"
+_REDUCED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
 ANSWER, WORDS, PAIRS, HIST = 0, 1, 2, 3
 LEAST = 2  # smallest count that may enter the filter
 
@@ -149,13 +156,14 @@ TAUS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 4096, 1 << 14, 1 << 1
 
 
 def _add_up(key, table):
+    bucket = key[0].as_py()
     kind, block, blob = (table.column(c).to_pylist() for c in ("kind", "block", "blob"))
     rows = []
     words = [(b, *decode(x)) for k, b, x in zip(kind, block, blob, strict=True) if k == 0]
     k, c = merged([w[1] for w in words], [w[2] for w in words])
     events = np.zeros(len(TAUS), np.int64)
     for b, own, _ in words:
-        rows.append((ANSWER, b, 0, 0, encode(own, c[np.searchsorted(k, own)])))
+        rows.append((ANSWER, b, bucket, 0, 0, _planes(c[np.searchsorted(k, own)])))
     seen = c > 0
     n_tokens, n_types = int(c.sum()), int(seen.sum())
     pairs = [decode(x) for q, x in zip(kind, blob, strict=True) if q == 1]
@@ -163,9 +171,9 @@ def _add_up(key, table):
     for name, (kk, cc) in ((WORDS, (k, c)), (PAIRS, (pk, pc))):
         often = cc >= LEAST
         if often.any():
-            rows.append((name, -1, 0, 0, encode(kk[often], cc[often])))
+            rows.append((name, -1, bucket, 0, 0, encode(kk[often], cc[often])))
             events += np.array([_levels(cc[often], t).sum() for t in TAUS])
-    rows.append((HIST, -1, n_tokens, n_types, events.tobytes()))
+    rows.append((HIST, -1, bucket, n_tokens, n_types, events.tobytes()))
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _REDUCED_ARROW, strict=True)], schema=_REDUCED_ARROW)
 
 
@@ -292,11 +300,23 @@ def tune_weights(texts: list[str], f: CountFilter, n: int, v: int, rounds: int =
     return weight
 
 
+def block_words(texts: pa.ChunkedArray) -> np.ndarray:
+    """Sorted distinct token hashes of a block, the order in which its counts come back."""
+    keys = [np.zeros(0, np.uint64)]
+    for _, _, data, off in tc.chunks(texts, 4 * tc.CHUNK_BYTES):
+        t = tokens(data, off)[0]
+        keys.append(np.unique(t[t != START]))
+    return np.unique(np.concatenate(keys))
+
+
 def _score_block(shared, n: int, v: int):
     def run(key, docs, answers):
         f, weight = shared.value
-        parts = [decode(x) for x in answers.column("blob").to_pylist()]
-        keys, counts = merged([p[0] for p in parts], [p[1] for p in parts])
+        keys = block_words(docs.column("text"))
+        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        counts = np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x)[0] for _, x in parts)])
+        if len(counts) != len(keys):
+            raise RuntimeError(f"a block of {len(keys)} words got {len(counts)} counts: its texts changed between the passes")
         out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
         for _, _, data, off in tc.chunks(docs.column("text")):
             t, ptr = tokens(data, off)
@@ -343,5 +363,5 @@ def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000) -> DataFra
     some = docs.where(~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(1_000_000)) < int(share * 1e6))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
     weight = tune_weights([r["text"] for r in sorted(some, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))], f, n, v)
     shared = docs.sparkSession.sparkContext.broadcast((f, weight))
-    answers = reduced.where(F.col("kind") == ANSWER).select("block", "blob")
+    answers = reduced.where(F.col("kind") == ANSWER).select("block", "bucket", "blob")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(shared, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
