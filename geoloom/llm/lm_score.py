@@ -11,7 +11,8 @@ Model. Words and pairs seen at least `tau` times enter a Bloom filter once for e
 2007). The filter has at most `max_bits` bits whatever the corpus, tau being the smallest count that
 fits, and is broadcast. A word's probability interpolates the pair estimate with the smoothed word
 estimate; both counts come from probing levels until one is absent. The weight depends on the
-context's count and is set by leave-one-out expectation maximisation on at most `tune` documents.
+context's count and is set by leave-one-out expectation maximisation on a hashed sample of different
+training rows, about `tune` of them or `tune_bytes` of text, whichever is less.
 
 Words are compared by 64-bit hashes (two different words of 10 million collide with a chance of
 3e-6). Defined cases: a null text is empty and has the end token alone; null doc ids are
@@ -337,7 +338,7 @@ def _score_block(shared, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000) -> DataFrame:
+def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000, tune_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     blocks = common.blocks_for(size["b"])
@@ -359,8 +360,8 @@ def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000) -> DataFra
 
     events = sum((np.frombuffer(r["blob"], np.int64) for r in hist.select("blob").mapInArrow(add, "blob binary").collect()), np.zeros(len(TAUS), np.int64))
     f = build_filter(reduced, events, max_bits)
-    share = min(1.0, tune / max(1, size["n"]))
-    some = docs.where(~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id"), F.lit(1_000_000)) < int(share * 1e6))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    share = min(1.0, tune / max(1, size["n"]), tune_bytes / max(1, size["b"]))
+    some = docs.where(~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().collect()
     weight = tune_weights([r["text"] for r in sorted(some, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))], f, n, v)
     shared = docs.sparkSession.sparkContext.broadcast((f, weight))
     answers = reduced.where(F.col("kind") == ANSWER).select("block", "bucket", "blob")
