@@ -1,18 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting. Documents are dealt into blocks by a hash; a block sends each of its distinct words and
-word pairs once, with its count, to the bucket of the word's hash; a bucket adds up the counts and
-answers each block with the totals of the block's own words, in the order of their hashes, which the
-block knows itself. So the exact word counts reach the documents without a broadcast vocabulary, and
-a word that a third of all documents use is one entry a block.
-
-Model. Words and pairs seen at least `tau` times enter a Bloom filter once for each level
-1..q of their logarithmically quantised count (base sqrt 2, level 1 at tau; Talbot and Osborne
-2007). The filter has at most `max_bits` bits whatever the corpus, tau being the smallest count that
-fits, and is broadcast. A word's probability interpolates the pair estimate with the smoothed word
-estimate; both counts come from probing levels until one is absent. The weight depends on the
-context's count and is set by leave-one-out expectation maximisation on a hashed sample of different
-training rows, about `tune` of them or `tune_bytes` of text, whichever is less.
+word pairs once, with its count, to the bucket of the hash; a bucket adds up the counts and answers
+each block with the totals of the block's own words and the filter's levels of its words and pairs,
+in the order of their hashes, which the block knows itself. So counts reach the documents without a
+broadcast, and a word that a third of all documents use is one entry a block.
+
+Model. Every word and pair of the training text, those seen once included, enters the Bloom filter
+of its bucket once for each level 1..q of its logarithmically quantised count (base sqrt 2, level 1
+at one; Talbot and Osborne 2007). A bucket's filter has about BITS bits a level entered, and buckets
+grow in number with the corpus, so nothing is left out at any size. A word's probability
+interpolates the pair estimate with the smoothed word estimate; both counts come from probing levels
+until one is absent. The weight depends on the context's count and is set by leave-one-out
+expectation maximisation on a hashed sample of training rows, about `tune` of them or `tune_bytes`
+of text, whichever is less, as counts of the different (word, context, pair) levels.
 
 Words are compared by 64-bit hashes (two different words of 10 million collide with a chance of
 3e-6). Defined cases: a null text is empty and has the end token alone; null doc ids are
@@ -38,6 +39,8 @@ START = _U(0x57A7_5EED_0000_0002)
 BASE = 2**0.5
 PROBES = 4
 SUBS = 64  # sub-filters, by the top six bits of the key
+BITS = 10  # of a filter for each level entered, before rounding up to a power of two
+TAU = 1  # count of level 1: n-grams seen once are kept
 PAIR_SHIFT = _U(20)  # pairs are told apart by 44 bits of their hash
 BINS = (10, 100, 1000, 10000)  # context counts that part the weights
 _LEVEL = tc.seeded(11, 128)
@@ -121,9 +124,12 @@ def _count_block(buckets: int):
             uni.append(np.unique(t[~learn & real]))
             cnt.append(np.zeros(len(uni[-1]), np.uint64))
             idx = within(ptr)
-            k, c = np.unique(pair_keys(t)[idx[learn[idx]]], return_counts=True)
+            two = pair_keys(t)
+            k, c = np.unique(two[idx[learn[idx]]], return_counts=True)
             pair.append(k)
             pcnt.append(c.astype(np.uint64))
+            pair.append(np.unique(two[idx[~learn[idx]]]))
+            pcnt.append(np.zeros(len(pair[-1]), np.uint64))
         out = {"bucket": [], "block": [], "kind": [], "blob": []}
         for kind, (k, c), bits in ((0, merged(uni, cnt), 64), (1, merged(pair, pcnt), 44)):
             edges = np.searchsorted(k, np.array([(i << bits) // buckets for i in range(1, buckets)], np.uint64))
@@ -141,8 +147,7 @@ def _count_block(buckets: int):
 
 _REDUCED = "kind int, block int, bucket int, tokens long, types long, blob binary"
 _REDUCED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.int64()), ("types", pa.int64()), ("blob", pa.binary())])
-ANSWER, WORDS, PAIRS, HIST = 0, 1, 2, 3
-LEAST = 2  # smallest count that may enter the filter
+ANSWER, SIZES = 0, 1
 
 
 def _levels(c: np.ndarray, tau: int) -> np.ndarray:
@@ -153,28 +158,21 @@ def _levels(c: np.ndarray, tau: int) -> np.ndarray:
     return np.minimum(q, len(_LEVEL))
 
 
-TAUS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 4096, 1 << 14, 1 << 16, 1 << 20, 1 << 30)
-
-
 def _add_up(key, table):
     bucket = key[0].as_py()
-    kind, block, blob = (table.column(c).to_pylist() for c in ("kind", "block", "blob"))
-    rows = []
-    words = [(b, *decode(x)) for k, b, x in zip(kind, block, blob, strict=True) if k == 0]
-    k, c = merged([w[1] for w in words], [w[2] for w in words])
-    events = np.zeros(len(TAUS), np.int64)
-    for b, own, _ in words:
-        rows.append((ANSWER, b, bucket, 0, 0, _planes(c[np.searchsorted(k, own)])))
-    seen = c > 0
-    n_tokens, n_types = int(c.sum()), int(seen.sum())
-    pairs = [decode(x) for q, x in zip(kind, blob, strict=True) if q == 1]
-    pk, pc = merged([p[0] for p in pairs], [p[1] for p in pairs])
-    for name, (kk, cc) in ((WORDS, (k, c)), (PAIRS, (pk, pc))):
-        often = cc >= LEAST
-        if often.any():
-            rows.append((name, -1, bucket, 0, 0, encode(kk[often], cc[often])))
-            events += np.array([_levels(cc[often], t).sum() for t in TAUS])
-    rows.append((HIST, -1, bucket, n_tokens, n_types, events.tobytes()))
+    rows, sent = [], {}
+    for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "blob")), strict=True):
+        sent.setdefault(b, {})[k] = decode(x)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    words, pairs = ({b: x.get(k, none) for b, x in sent.items()} for k in (0, 1))
+    k, c = merged(*([w[i] for w in words.values()] for i in (0, 1)))
+    pk, pc = merged(*([p[i] for p in pairs.values()] for i in (0, 1)))
+    keys = np.concatenate([word_key(k), pair_key(pk)])
+    level = shard_filter(keys, np.concatenate([c, pc])).level(keys)
+    for b in sent:
+        at, two = np.searchsorted(k, words[b][0]), np.searchsorted(pk, pairs[b][0])
+        rows.append((ANSWER, b, bucket, 0, 0, _planes(c[at]) + _planes(level[at]) + _planes(level[len(k) + two])))
+    rows.append((SIZES, -1, bucket, int(c.sum()), int((c > 0).sum()), b""))
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _REDUCED_ARROW, strict=True)], schema=_REDUCED_ARROW)
 
 
@@ -214,12 +212,12 @@ class CountFilter:
             out[alive] = level + 1
         return out
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        if not len(key):
-            return np.zeros(0)
-        value = np.concatenate([[0.0], self.tau * BASE ** (np.arange(len(_LEVEL)) + 0.2)])
-        value[1] = self.tau
-        return value[self.level(key)]
+
+def counts_of(level: np.ndarray, tau: int = TAU) -> np.ndarray:
+    """The count that a level stands for."""
+    value = np.concatenate([[0.0], tau * BASE ** (np.arange(len(_LEVEL)) + 0.2)])
+    value[1] = tau
+    return value[level]
 
 
 def _fill(log_bits: int, tau: int):
@@ -235,134 +233,148 @@ def _fill(log_bits: int, tau: int):
     return run
 
 
-def _split(tau: int):
-    def run(batches):
-        for b in batches:
-            sub, blob = [], []
-            for kind, x in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                k, c = decode(x)
-                k, c = k[c >= tau], c[c >= tau]
-                key = word_key(k) if kind == WORDS else pair_key(k)
-                s = (key >> _U(58)).astype(np.int64)
-                for i in np.unique(s):
-                    sub.append(int(i))
-                    blob.append(np.stack([key[s == i], c[s == i]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int32()), pa.array(blob, pa.binary())], ["sub", "blob"])
-
-    return run
-
-
-def build_filter(reduced: DataFrame, events: np.ndarray, max_bits: int) -> CountFilter:
-    for tau, n in zip(TAUS, events, strict=True):
-        if n * 8 <= max_bits:
-            break
-    log_bits = max(10, min(int(max_bits).bit_length() - 1, math.ceil(math.log2(max(1, n) * 10))) - 6)
-    parts = reduced.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "blob").mapInArrow(_split(tau), "sub int, blob binary").groupBy("sub").applyInArrow(_fill(log_bits, tau), "sub int, bits binary").collect()
-    bits = np.zeros((SUBS, (1 << log_bits) // 8), np.uint8)
-    for r in parts:
-        bits[r["sub"]] = np.frombuffer(r["bits"], np.uint8)
-    return CountFilter(bits.ravel(), log_bits, tau)
+def shard_filter(key: np.ndarray, count: np.ndarray) -> CountFilter:
+    """The filter of a bucket's keys, sized by the levels to enter."""
+    log_bits = max(10, math.ceil(math.log2(max(1, int(_levels(count, TAU).sum()) * BITS))) - 6)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    edges = np.searchsorted(key, np.arange(1, SUBS, dtype=np.uint64) << _U(58))
+    fill, bits = _fill(log_bits, TAU), []
+    for sub, (a, b) in enumerate(zip([0, *edges], [*edges, len(key)], strict=True)):
+        made = fill((pa.scalar(sub),), pa.table({"blob": [np.stack([key[a:b], count[a:b]]).tobytes()]}))
+        bits.append(np.frombuffer(made.column("bits")[0].as_py(), np.uint8))
+    return CountFilter(np.concatenate(bits), log_bits, TAU)
 
 
 # ---- scoring -----------------------------------------------------------------------------------
-def _estimates(t: np.ndarray, idx: np.ndarray, f: CountFilter, n: int, v: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair estimate, word estimate, bin of the context's count) of the tokens after positions idx.
+def _estimates(word: np.ndarray, ctx: np.ndarray, pair: np.ndarray, n: int, v: int, leave: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair estimate, word estimate, bin of the context's count) by the levels of tokens, their contexts and pairs.
 
-    leave: 1 where the token itself is in the training text and is taken out.
+    leave: 1 if the token itself is in the training text and is taken out.
     """
-    word, back = np.unique(t, return_inverse=True)
-    c = f.count(word_key(word))[back]
-    pair = f.count(pair_key(pair_keys(t)[idx]))
-    cw, ctx = c[idx + 1], c[idx]
-    if leave is not None:
-        cw, ctx, pair = (np.maximum(x - leave, 0) for x in (cw, ctx, pair))
+    cw, cc, cp = (np.maximum(counts_of(x) - leave, 0) for x in (word, ctx, pair))
     uni = (cw + 0.1) / (n + 0.1 * (v + 1))
-    two = np.where(ctx > 0, pair / np.maximum(np.maximum(ctx, pair), 1), 0.0)
-    return two, np.minimum(uni, 1.0), np.where(ctx > 0, 1 + np.digitize(ctx, BINS), 0)
+    two = np.where(cc > 0, cp / np.maximum(np.maximum(cc, cp), 1), 0.0)
+    return two, np.minimum(uni, 1.0), np.where(cc > 0, 1 + np.digitize(cc, BINS), 0)
 
 
-def tune_weights(texts: list[str], f: CountFilter, n: int, v: int, rounds: int = 8) -> np.ndarray:
+def tune_weights(cells: np.ndarray, times: np.ndarray, n: int, v: int, rounds: int = 8) -> np.ndarray:
     """Weight of the pair estimate by the bin of the context's count (bin 0, an unknown context, has none)."""
     weight = np.full(len(BINS) + 2, 0.3)
     weight[0] = 0
-    got = []
-    for _, _, data, off in tc.chunks(pa.array(texts, pa.large_string())):
-        t, ptr = tokens(data, off)
-        idx = within(ptr)
-        got.append(_estimates(t, idx, f, n, v, np.ones(len(idx))))
-    if not got:
-        return weight
-    two, uni, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    two, uni, b = _estimates(cells >> 16, cells >> 8 & 255, cells & 255, n, v, 1)
     for _ in range(rounds):
         post = weight[b] * two / np.maximum(weight[b] * two + (1 - weight[b]) * uni, 1e-300)
         for i in range(1, len(weight)):
             if (b == i).any():
-                weight[i] = min(0.95, max(0.001, float(post[b == i].mean())))
+                weight[i] = min(0.95, max(0.001, float(np.average(post[b == i], weights=times[b == i]))))
     return weight
 
 
-def block_words(texts: pa.ChunkedArray) -> np.ndarray:
-    """Sorted distinct token hashes of a block, the order in which its counts come back."""
-    keys = [np.zeros(0, np.uint64)]
+def block_keys(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct token hashes and pair keys of a block, the order in which its answers come back."""
+    words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for _, _, data, off in tc.chunks(texts, 4 * tc.CHUNK_BYTES):
-        t = tokens(data, off)[0]
-        keys.append(np.unique(t[t != START]))
-    return np.unique(np.concatenate(keys))
+        t, ptr = tokens(data, off)
+        words.append(np.unique(t[t != START]))
+        pairs.append(np.unique(pair_keys(t)[within(ptr)]))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
+
 
+def _answers(blobs: list[bytes]) -> list[np.ndarray]:
+    """A block's word counts, word levels and pair levels from its buckets' answers in order."""
+    out = [[np.zeros(0, np.uint64)] for _ in range(3)]
+    for x in blobs:
+        at = 0
+        for part in out:
+            a, at = _unplaned(x, at)
+            part.append(a)
+    return [np.concatenate(x) for x in out]
+
+
+def _place_block(n: int, v: int):
+    """Packed tables of rows without their score, and the levels of their words and pairs instead."""
 
-def _score_block(shared, n: int, v: int):
     def run(key, docs, answers):
-        f, weight = shared.value
-        keys = block_words(docs.column("text"))
+        keys, pairs = block_keys(docs.column("text"))
         parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x)[0] for _, x in parts)])
-        if len(counts) != len(keys):
-            raise RuntimeError(f"a block of {len(keys)} words got {len(counts)} counts: its texts changed between the passes")
-        out = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
-        for _, _, data, off in tc.chunks(docs.column("text")):
+        counts, level, pair_level = _answers([x for _, x in parts])
+        if (len(counts), len(level), len(pair_level)) != (len(keys), len(keys), len(pairs)):
+            raise RuntimeError(f"a block of {len(keys)} words and {len(pairs)} pairs got {len(counts)} and {len(pair_level)} answers: its texts changed between the passes")
+        level, pair_level = level.astype(np.uint8), pair_level.astype(np.uint8)
+        blobs = []
+        for a, z, data, off in tc.chunks(docs.column("text")):
             t, ptr = tokens(data, off)
             idx = within(ptr)
-            own = t[idx + 1]
-            c = counts[np.searchsorted(keys, own)].astype(np.float64)
-            cut = ptr[:-1] - np.arange(len(ptr) - 1)  # pairs before each document
-            two, uni, b = _estimates(t, idx, f, n, v)
-            p = weight[b] * two + (1 - weight[b]) * uni
-            out["n_tokens"].append(np.diff(ptr) - 1)
-            out["n_known"].append(np.add.reduceat((c > 0).astype(np.int64), cut))
-            out["base_score"].append(np.add.reduceat(np.log10((c + 0.1) / (n + 0.1 * (v + 1))), cut))
-            out["score"].append(np.add.reduceat(np.log10(p), cut))
-        cols = [np.concatenate(out[c]) if out[c] else np.zeros(0) for c in out]
-        m = docs.num_rows
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(cols[0].astype(np.int64)), "n_known": pa.array(cols[1].astype(np.int64)), "train_tokens": pa.array(np.full(m, n, np.int64)), "base_score": pa.array(cols[2].astype(float)), "score": pa.array(cols[3].astype(float))})
+            at = np.searchsorted(keys, t[idx + 1])
+            c = counts[at].astype(np.float64)
+            cut = ptr - np.arange(len(ptr))  # pairs before each document
+            rows = docs.slice(a, z - a).drop_columns(["block", "text"])
+            rows = rows.append_column("n_known", pa.array(np.add.reduceat((c > 0).astype(np.int64), cut[:-1])))
+            rows = rows.append_column("base_score", pa.array(np.add.reduceat(np.log10((c + 0.1) / (n + 0.1 * (v + 1))), cut[:-1])))
+            for name, x in (("word", level[at]), ("pair", pair_level[np.searchsorted(pairs, pair_keys(t)[idx])])):
+                rows = rows.append_column(name, pa.LargeListArray.from_arrays(pa.array(cut), pa.array(x)))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.table({"rows": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _placed(batches):
+    """(rows, tokens by document, levels of words, of contexts and of pairs) of packed tables."""
+    for b in batches:
+        for blob in b.column("rows"):
+            rows = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+            word, pair = (rows.column(c).combine_chunks() for c in ("word", "pair"))
+            n = np.diff(word.offsets.to_numpy())
+            word, pair = (x.flatten().to_numpy().astype(np.int64) for x in (word, pair))
+            ctx = np.roll(word, 1)
+            ctx[np.cumsum(n) - n] = 0  # a text's start has no count
+            yield rows, n, word, ctx, pair
+
+
+def _cells(batches):
+    """Counts of the level triples of the rows that tune the weights."""
+    total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for rows, n, word, ctx, pair in _placed(batches):
+        use = np.repeat(rows.column("tune").to_numpy(zero_copy_only=False), n)
+        k, c = np.unique((word << 16 | ctx << 8 | pair)[use], return_counts=True)
+        total = merged([total[0], k], [total[1], c])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in total], ["cell", "times"])
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(weight: np.ndarray, n: int, v: int):
+    def run(batches):
+        for rows, tokens_of, word, ctx, pair in _placed(batches):
+            two, uni, b = _estimates(word, ctx, pair, n, v)
+            p = np.log10(weight[b] * two + (1 - weight[b]) * uni)
+            cols = [rows.column("doc_id"), rows.column("held_out"), pa.array(tokens_of.astype(np.int64)), rows.column("n_known"), pa.array(np.full(len(tokens_of), n, np.int64)), rows.column("base_score"), pa.array(np.add.reduceat(p, np.cumsum(tokens_of) - tokens_of))]
+            yield from pa.table(dict(zip([c.split()[0] for c in _SCORED.split(", ")], cols, strict=True))).to_batches()
 
     return run
 
 
-def score(docs: DataFrame, max_bits: int = 1 << 28, tune: int = 1000, tune_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, tune: int = 1000, tune_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     blocks = common.blocks_for(size["b"])
     buckets = 2 * blocks
     held = tc.crc_mod("doc_id", 10) == 0
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    share = min(1.0, tune / max(1, size["n"]), tune_bytes / max(1, size["b"]))
+    some = ~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), some.alias("tune"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     counted = dealt.groupBy("block").applyInArrow(_count_block(buckets), "bucket int, block int, kind int, blob binary")
     reduced = common.kept(counted.groupBy("bucket").applyInArrow(_add_up, _REDUCED))
-    hist = reduced.where(F.col("kind") == HIST).select("tokens", "types", "blob")
-    total = hist.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    total = reduced.where(F.col("kind") == SIZES).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = total["n"], total["v"]
-
-    def add(batches):
-        acc = np.zeros(len(TAUS), np.int64)
-        for b in batches:
-            for x in b.column("blob").to_pylist():
-                acc += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], pa.binary())], ["blob"])
-
-    events = sum((np.frombuffer(r["blob"], np.int64) for r in hist.select("blob").mapInArrow(add, "blob binary").collect()), np.zeros(len(TAUS), np.int64))
-    f = build_filter(reduced, events, max_bits)
-    share = min(1.0, tune / max(1, size["n"]), tune_bytes / max(1, size["b"]))
-    some = docs.where(~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().collect()
-    weight = tune_weights([r["text"] for r in sorted(some, key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["text"]))], f, n, v)
-    shared = docs.sparkSession.sparkContext.broadcast((f, weight))
     answers = reduced.where(F.col("kind") == ANSWER).select("block", "bucket", "blob")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(shared, n, v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    placed = common.kept(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_place_block(n, v), "rows binary"))
+    cells = placed.mapInArrow(_cells, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).orderBy("cell").collect()
+    weight = tune_weights(*(np.array([r[c] for r in cells], np.int64) for c in ("cell", "times")), n, v)
+    return placed.mapInArrow(_scored(weight, n, v), _SCORED)

@@ -129,6 +129,22 @@ def test_count_filter():
     assert (f.level(keys) >= lm_score._levels(counts, 2)).all()  # a Bloom filter never forgets
 
 
+def test_lm_keeps_ngrams_seen_once(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    seen = [i for i in range(400) if i not in held]
+    texts = [(i, f"left{i} right{i} tail") for i in seen] + list(zip(held, (f"left{seen[0]} right{seen[0]} tail", f"left{seen[0]} right{seen[1]} tail", "new1 new2 tail"), strict=False))
+    got = {r["doc_id"]: r["score"] for r in rows(lm_score.score(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got[held[0]] > got[held[1]] + 0.2  # a pair seen once
+    assert got[held[1]] > got[held[2]] + 0.8  # words seen once
+
+
+def test_lm_filter_has_no_size_limit():
+    keys = np.concatenate([tc.seeded(78, 100_000), tc.seeded(79, 100_000)])
+    counts = np.concatenate([np.ones(100_000), np.zeros(100_000)]).astype(np.uint64)
+    level = lm_score.shard_filter(keys, counts).level(keys)
+    assert (level[:100_000] >= 1).all() and (level[100_000:] > 0).mean() < 0.02
+
+
 @given(st.lists(st.integers(0, 2**63), min_size=1, max_size=50, unique=True))
 def test_packed_keys(keys):
     k = np.sort(np.array(keys, np.uint64))
