@@ -12,8 +12,8 @@ at one; Talbot and Osborne 2007). A bucket's filter has about BITS bits a level
 grow in number with the corpus, so nothing is left out at any size. A word's probability
 interpolates the pair estimate with the smoothed word estimate; both counts come from probing levels
 until one is absent. The weight depends on the context's count and is set by leave-one-out
-expectation maximisation on a hashed sample of training rows, about `tune` of them or `tune_bytes`
-of text, whichever is less, as counts of the different (word, context, pair) levels.
+expectation maximisation over all training rows: a token's part in it depends only on the levels of
+word, context and pair, so the rounds run on the counts of the different triples.
 
 Words are compared by 64-bit hashes (two different words of 10 million collide with a chance of
 3e-6). Defined cases: a null text is empty and has the end token alone; null doc ids are
@@ -337,10 +337,10 @@ def _placed(batches):
 
 
 def _cells(batches):
-    """Counts of the level triples of the rows that tune the weights."""
+    """Counts of the level triples of the training rows."""
     total = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for rows, n, word, ctx, pair in _placed(batches):
-        use = np.repeat(rows.column("tune").to_numpy(zero_copy_only=False), n)
+        use = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), n)
         k, c = np.unique((word << 16 | ctx << 8 | pair)[use], return_counts=True)
         total = merged([total[0], k], [total[1], c])
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in total], ["cell", "times"])
@@ -360,15 +360,12 @@ def _scored(weight: np.ndarray, n: int, v: int):
     return run
 
 
-def score(docs: DataFrame, tune: int = 1000, tune_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    blocks = common.blocks_for(size["b"])
+    blocks = common.blocks_for(common.text_bytes(docs))
     buckets = 2 * blocks
     held = tc.crc_mod("doc_id", 10) == 0
-    share = min(1.0, tune / max(1, size["n"]), tune_bytes / max(1, size["b"]))
-    some = ~held & (F.pmod(F.xxhash64(F.lit("tune"), "doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), some.alias("tune"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     counted = dealt.groupBy("block").applyInArrow(_count_block(buckets), "bucket int, block int, kind int, blob binary")
     reduced = common.kept(counted.groupBy("bucket").applyInArrow(_add_up, _REDUCED))
     total = reduced.where(F.col("kind") == SIZES).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()

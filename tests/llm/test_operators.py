@@ -138,6 +138,15 @@ def test_lm_keeps_ngrams_seen_once(spark):
     assert got[held[1]] > got[held[2]] + 0.8  # words seen once
 
 
+def test_lm_weights_from_all_training_rows(spark, monkeypatch):
+    seen = []
+    tune = lm_score.tune_weights
+    monkeypatch.setattr(lm_score, "tune_weights", lambda cells, times, *a: seen.append(int(times.sum())) or tune(cells, times, *a))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 5) AS text")
+    got = rows(lm_score.score(docs))
+    assert seen == [got[0]["train_tokens"]] and seen[0] > 8000
+
+
 def test_lm_filter_has_no_size_limit():
     keys = np.concatenate([tc.seeded(78, 100_000), tc.seeded(79, 100_000)])
     counts = np.concatenate([np.ones(100_000), np.zeros(100_000)]).astype(np.uint64)
