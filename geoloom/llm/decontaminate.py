@@ -11,9 +11,10 @@ windows; a hash join with the benchmark's windows decides. A window that several
 the one with the fewest windows (of these, the smallest item_id), so an excerpt that is an item of its own keeps its
 windows and a phrase common to a whole benchmark is one row a match. Matches of a document and item at
 one offset are a copy; within a copy every slot value of the item must have one value in the
-document, or the copy does not count. A document is contaminated by an item if consistent copies
-cover at least `coverage` of the item's own windows and at least LEAST of them (all, if the item has
-fewer).
+document, or the copy does not count. A document is contaminated by an item if one consistent copy
+matches a passage of RUN template tokens without a gap, however long the item is, or if consistent
+copies cover at least `coverage` of the item's own windows and at least LEAST of them (all, if the
+item has fewer).
 
 Defined cases: null or empty texts and items match nothing; an item with fewer than WINDOW tokens
 is matched whole if it has at least SHORTEST, and one without a window of LITERALS plain words never; repeated rows of a doc_id
@@ -35,6 +36,7 @@ WINDOW = 8
 LITERALS = 3
 SHORTEST = 5
 LEAST = 4
+RUN = 13  # template tokens of a passage that counts by itself
 MAP_BITS = 24  # bits of the broadcast bitmap: 2 MB whatever the benchmark
 MAX_SLOTS = 8
 
@@ -189,6 +191,17 @@ def _thinned(shared):
     return run
 
 
+def _longest(places: str):
+    """Tokens of the longest passage that windows at these places cover without a gap."""
+    start = F.struct(F.lit(-2 * WINDOW).cast("long").alias("first"), F.lit(-2 * WINDOW).cast("long").alias("last"), F.lit(0).cast("long").alias("best"))
+
+    def one(acc, at):
+        first = F.when(at - acc["last"] <= WINDOW, acc["first"]).otherwise(at)
+        return F.struct(first.alias("first"), at.alias("last"), F.greatest(acc["best"], at - first + WINDOW).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, one, lambda acc: acc["best"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_items) of contaminated documents; item_id is the best covered."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -206,8 +219,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -
     matches = seen.join(owned, "win").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != 0).alias("pairs"))
     copies = matches.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = copies.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
-    covered = consistent.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"))
-    judged = covered.join(totals, "item_id").where((F.col("n_windows") >= coverage * F.col("own")) & (F.col("n_windows") >= F.least(F.lit(LEAST), F.col("own"))))
+    covered = consistent.withColumn("run", _longest("places")).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"), F.max("run").alias("run"))
+    share = (F.col("n_windows") >= coverage * F.col("own")) & (F.col("n_windows") >= F.least(F.lit(LEAST), F.col("own")))
+    judged = covered.join(totals, "item_id").where(share | (F.col("run") >= RUN))
     best = judged.groupBy("doc_id").agg(F.max(F.struct((F.col("n_windows") / F.col("own")).alias("coverage"), "n_windows", (-F.col("item_id")).alias("neg"))).alias("m"), F.count(F.lit(1)).alias("n_items"))
     return best.select("doc_id", (-F.col("m.neg")).alias("item_id"), F.col("m.n_windows").cast("long").alias("n_windows"), F.col("m.coverage").alias("coverage"), "n_items")
 

@@ -271,6 +271,14 @@ def test_decontamination_of_an_excerpt(spark):
     assert {r["doc_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1, 2, 4}
 
 
+def test_decontamination_of_a_partial_passage(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(1000)]
+    bench = spark.createDataFrame([(1, " ".join(words[:59])), (2, " ".join(words[100:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {' '.join(words[10:40])} after"), (2, f"before {' '.join(words[300:700])} after"), (3, f"before {' '.join(words[300:312])} after"), (4, f"before {' '.join(words[500:513])} after")], "doc_id long, text string")
+    assert {r["doc_id"]: r["item_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1: 1, 2: 2, 4: 2}
+    assert [r["doc_id"] for r in rows(decontaminate.clean(docs, bench))] == [3]
+
+
 def test_pii_against_python(spark):
     def digest(kind, i, half):
         return hashlib.sha256(f"{pii.KEY}|{kind}|{i}|{half}".encode()).hexdigest()
