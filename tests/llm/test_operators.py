@@ -263,6 +263,15 @@ def test_decontamination_of_reparameterised_questions(spark):
     assert {r["doc_id"] for r in rows(decontaminate.contaminated(docs, bench))} == {1, 2}
 
 
+def test_decontamination_of_sentence_initial_names(spark):
+    q = "Tom has 3 cats. Tom buys 4 dogs. Tom sells 2 cats. How many pets does Tom keep?"
+    other = q.replace("Tom buys", "Eve buys").replace("does Tom", "does Eve").replace("Tom", "Ann")  # two people
+    docs = spark.createDataFrame([(1, q), (2, f"Some words. {q.replace('Tom', 'Ann')} Others."), (3, other), (4, q.replace("Tom", "Will").replace("3", "8"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, q)], "item_id long, text string")
+    got = rows(decontaminate.contaminated(docs, bench))
+    assert {r["doc_id"] for r in got} == {1, 2, 4} and {r["n_items"] for r in got} == {1}
+
+
 def test_decontamination_of_an_excerpt(spark):
     long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
     short = " ".join(long.split()[50:75])
