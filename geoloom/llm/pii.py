@@ -4,16 +4,24 @@ Found values are validated; a valid one is permuted within its format by a keyed
 equal values have equal pseudonyms in all documents and different ones stay different:
 
     email      letters and digits of the local part, each within its kind; the domain stays
-    phone      the ten digits; country code and punctuation stay
+    phone      the ten digits, with the area code in parentheses or, if area and exchange begin with
+               2 to 9, without; or '+', country code and 6 to 18 digits; code and punctuation stay
     ip         four octets up to 255, as a 32-bit number
-    date       YYYY-MM-DD or DD/MM/YYYY, a real day of 1900 to 2099, as a day number
+    ipv6       eight groups, or fewer around '::', with a digit, as hexadecimal digits
+    date       YYYY-MM-DD, DD/MM/YYYY or DD.MM.YYYY, a real day of 1900 to 2099, as a day number;
+               MM/DD/YYYY or MM.DD.YYYY with a day above 12, as its rank among such days
     ssn        valid area-group-serial, as its rank among the valid ones
-    card       13 to 19 digits (also in groups of four) with a right Luhn digit, which is made anew
+    card       13 to 19 digits (also 4-4-4-4 or 4-6-5) with a right Luhn digit, which is made anew
     secret     32 to 64 hexadecimal digits with a letter and a digit, as hexadecimal digits
+    key        AKIA, ASIA, AIza, gh?_, github_pat_, xox?-, glpat-, sk- and rk- keys (these with a
+               digit): letters and digits after the prefix, each within its kind
+
+Not treated: dates with one-digit or written months, phones without '+' in other groups than 3-3-4,
+IPv6 that begins or ends with '::', secrets of other forms.
 
 Invalid look-alikes stay as they are. The round function is SHA-256 of key, kind, round and other half.
 
-Defined cases: a null text stays null, an empty one empty; texts without a digit or '@' pass unread;
+Defined cases: a null text stays null, an empty one empty; texts without a digit, '@' or AWS prefix pass unread;
 rows are treated one by one, so repeated rows, ties and other columns do not matter (columns named
 like those made here are replaced).
 """
@@ -29,13 +37,19 @@ KEY = "geoloom-demo-key"  # production passes its own secret
 # Fixed patterns; the first alternative that fits wins. Valid in Java and in RE2.
 EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b"
+BARE = r"\b(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}\b"
+ABROAD = r"\+[1-9]\d{7,14}\b|\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\b|\+[1-9]\d{0,2}[ .-]\d{1,2}(?:[ .-]\d{2}){4}\b|\+[1-9]\d{0,2}(?:[ .-]\d{2,8}){1,3}\b"
+CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"  # after removal of punctuation
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}\b"
 DATE = r"\b\d{4}-\d{2}-\d{2}\b"
-DAY = r"\b\d{2}/\d{2}/\d{4}\b"
+DAY = r"\b(?:\d{2}/\d{2}/|\d{2}\.\d{2}\.)\d{4}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-CARD = r"\b(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})\b"
+CARD = r"\b(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})\b"
 SECRET = r"\b[0-9a-fA-F]{32,64}\b"
-ANY = "|".join((EMAIL, PHONE, IP, DATE, DAY, SSN, CARD, SECRET))
+TOKEN = r"\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36,255}\b|github_pat_[0-9A-Za-z_]{22,255}|xox[abeprs]-[0-9A-Za-z-]{10,255}|glpat-[0-9A-Za-z_-]{20,255}|[sr]k[-_][0-9A-Za-z_-]{16,255})"
+PREFIX = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|xox[abeprs]-|glpat-|[sr]k[-_](?:[a-z]+[-_])*)"
+ANY = "|".join((EMAIL, TOKEN, PHONE, ABROAD, BARE, IPV6, IP, DATE, DAY, SSN, CARD, SECRET))
 
 
 def _digest(key: str, kind: str, i: Column, half: Column) -> Column:
@@ -130,6 +144,25 @@ def _real_day(s: Column, form: str) -> Column:
     return F.when(day.between(F.lit(_FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")) & (F.date_format(day, form) == s), day)
 
 
+_LATE = 44249  # days above the 12th of a month, from 1900 to 2099
+
+
+def _late_day(day: Column, key: str) -> Column:
+    """A day above the 12th, permuted among those: 44250 is a product, and what meets its last number goes on once."""
+    first = F.lit(_FIRST_DAY).cast("date")
+    before = lambda month: F.datediff(F.add_months(first, month), first).cast("long") - 12 * month
+    month = ((F.year(day) - 1900) * 12 + F.month(day) - 1).cast("int")
+    step = lambda x: permuted(x, 150, 295, key, "late day")
+    rank = _let(step(before(month) + F.dayofmonth(day) - 13), lambda x: F.when(x == _LATE, step(F.lit(_LATE).cast("long"))).otherwise(x))
+
+    def found(x):
+        about = F.floor(x * 2400 / _LATE).cast("int")
+        at = F.array_max(F.filter(F.sequence(F.greatest(about - 2, F.lit(0)), about + 2), lambda m: before(m) <= x))
+        return _let(at, lambda m: F.date_add(F.add_months(first, m), (x - before(m) + 12).cast("int")))
+
+    return _let(rank, found)
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of a found value; null if it is not valid."""
     part = lambda n, sep: F.split(m, sep)[n].cast("long")
@@ -142,15 +175,32 @@ def pseudonym(m: Column, key: str) -> Column:
     payload = _digits(m).substr(F.lit(1), F.length(_digits(m)) - 1)
     card = F.when(luhn_sum(_digits(m), False) % 10 == 0, _let(_number(payload, key, "card"), lambda p: _filled(m, F.concat(p, F.pmod(-luhn_sum(p, True), F.lit(10)).cast("string")))))
     phone = _let(_digits(m), lambda d: _filled(m, F.concat(d.substr(F.lit(1), F.length(d) - 10), _number(d.substr(F.length(d) - 9, F.lit(10)), key, "phone"))))
+    plain = F.regexp_replace(m, "[ .-]", "")
+    code = F.regexp_extract(plain, CODE, 0)
+    national = plain.substr(F.length(code) + 1, F.length(plain))
+    abroad = F.when((F.length(code) > 0) & F.length(national).between(6, 18), _filled(m, F.concat(code.substr(F.lit(2), F.length(code)), _number(national, key, "phone"))))
+    kinds = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+    hexa = ("0123456789", "abcdef", "ABCDEF")
+    ipv6 = F.when(m.rlike("[0-9]") & (~m.contains("::") | (F.size(F.split(m, ":+")) <= 7)), permuted_text(m, key, "ipv6", hexa))
+    prefix = F.regexp_extract(m, PREFIX, 0)
+    token = F.when(~m.rlike("^[sr]k") | m.rlike("[0-9]"), F.concat(prefix, permuted_text(m.substr(F.length(prefix) + 1, F.length(m)), key, "key", kinds)))
     local = F.substring_index(m, "@", 1)
-    email = F.concat(permuted_text(local, key, "email", ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")), F.lit("@"), F.substring_index(m, "@", -1))
-    secret = F.when(m.rlike("[0-9]") & m.rlike("[a-fA-F]"), permuted_text(m, key, "secret", ("0123456789", "abcdef", "ABCDEF")))
-    iso, dmy = "yyyy-MM-dd", "dd/MM/yyyy"
+    email = F.concat(permuted_text(local, key, "email", kinds), F.lit("@"), F.substring_index(m, "@", -1))
+    secret = F.when(m.rlike("[0-9]") & m.rlike("[a-fA-F]"), permuted_text(m, key, "secret", hexa))
+    iso = "yyyy-MM-dd"
+
+    def either(dmy, mdy):
+        return F.coalesce(F.date_format(_day(_real_day(m, dmy), key), dmy), F.date_format(_late_day(_real_day(m, mdy), key), mdy))
+
     return (
         F.when(F.instr(m, "@") > 0, email)
-        .when(F.instr(m, "(") > 0, phone)
+        .when(m.rlike(PREFIX), token)
+        .when((F.instr(m, "(") > 0) | m.rlike(f"^{BARE}$"), phone)
+        .when(m.startswith("+"), abroad)
+        .when(F.instr(m, ":") > 0, ipv6)
+        .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), either("dd.MM.yyyy", "MM.dd.yyyy"))
         .when(F.instr(m, ".") > 0, ip)
-        .when(F.instr(m, "/") > 0, F.date_format(_day(_real_day(m, dmy), key), dmy))
+        .when(F.instr(m, "/") > 0, either("dd/MM/yyyy", "MM/dd/yyyy"))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.date_format(_day(_real_day(m, iso), key), iso))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn)
         .when(m.rlike(r"^[\d -]+$") & (F.length(_digits(m)) <= 19), card)
@@ -161,7 +211,7 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and pii_found and pii_replaced (long)."""
     text = F.col(column)
-    maybe = text.rlike("[0-9@]")
+    maybe = text.rlike("[0-9@]|AKIA|ASIA")
     rows = docs.withColumn("_found", F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key)))
     between = F.split(text, ANY, -1)
