@@ -10,8 +10,8 @@ Chosen paths (Christiani and Pagh 2017; Christiani, Pagh and Sivertsen 2018). A
 buckets are small or stop shrinking (members of such a bucket resemble each other). Buckets are
 then joined exactly on the sets themselves; one that stays large is cut into blocks, and pairs of
 blocks are joined apart. A pair with similarity s shares the first bucket of a run with chance s, and
-each further split with 1-(1-s)^BRANCH, so at s = 0.8 a run whose buckets split three times finds it
-with 0.8 * 0.96^3 = 0.70; `runs_for` repeats runs until the miss of all runs is below 1 - recall.
+each further split with 1-(1-s)^BRANCH, so at s = 0.8 a run whose buckets split all LEVELS times finds
+it with 0.8 * 0.96^6 = 0.63; `runs_for` repeats runs until the miss of all runs is below 1 - recall.
 
 Result: one row a document with class_id (smallest doc_id of its connected group), copy_of (its class
 representative) and n_links (other documents with similarity >= threshold, copies included).
@@ -46,7 +46,7 @@ _MUL = tc.seeded(21, COORDS) | _U(1)
 _ADD = tc.seeded(22, COORDS)
 
 
-def runs_for(threshold: float, recall: float, splits: int = 3) -> int:
+def runs_for(threshold: float, recall: float, splits: int = LEVELS) -> int:
     """Runs until a pair at the threshold is missed by all of them with a chance of at most 1 - recall."""
     found = threshold * (1 - (1 - threshold) ** BRANCH) ** splits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))

@@ -247,6 +247,11 @@ def test_chat_round_trip(turns):
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def test_join_runs_reach_the_recall_at_every_depth():
+    found = 0.8 * (1 - 0.2**ngram_join.BRANCH) ** ngram_join.LEVELS
+    assert (1 - found) ** ngram_join.runs_for(0.8, 0.9999) <= 1e-4
+
+
 def test_chat_nulls_and_ties(spark):
     df = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, None, "x"), (1, 1, "assistant", None), (None, 0, "user", "y")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in rows(chat.digests(chat.format_chat(df)))}
