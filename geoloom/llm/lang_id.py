@@ -2,8 +2,8 @@
 
 Subwords are all byte 2-, 3- and 4-grams of the lower-cased text, hashed into `buckets` rows of an
 embedding table. A text is the average of its rows; a linear softmax sits on top; both are trained
-by mini-batch stochastic gradient descent in numpy on a bounded sample (`per_lang` rows of each
-language, chosen by a hash of doc_id). As average and linear layer commute, scoring adds up
+by mini-batch stochastic gradient descent in numpy on a bounded sample (`per_lang` different rows and
+SAMPLE_BYTES of text of each language, chosen by a hash of doc_id and text). As average and linear layer commute, scoring adds up
 per-bucket class logits, so whole texts cost one table lookup per subword. The temperature and the
 rejection threshold are calibrated on a fifth of the sample that training does not see.
 
@@ -14,17 +14,19 @@ throughout; repeated rows are scored alike; extra columns are left out of the re
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textcore as tc
 
 WIDTHS = (2, 3, 4)
+SAMPLE_BYTES = 8 << 20  # text of a language in the sample
 
 # Lower case of bytes: A-Z, and the second bytes of C3 80..9E (capital Latin-1 letters) without the sign C3 97.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -156,26 +158,16 @@ def calibrate(model: Model, texts: list[str], y: np.ndarray, max_error: float) -
     return model
 
 
-def sample(docs: DataFrame, per_lang: int, seed: str = "lang") -> tuple[list[str], list[str]]:
-    """About `per_lang` training rows of each language (all, if there are fewer), chosen by a hash of doc_id."""
+def sample(docs: DataFrame, per_lang: int, max_bytes: int = SAMPLE_BYTES, seed: str = "lang") -> tuple[list[str], list[str]]:
+    """Texts and languages of a bounded sample of the training rows of each language; see `common.drawn`."""
     rows = docs.where((tc.crc_mod("doc_id", 3) != 1) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = None
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
-    for lang, n in sorted(sizes.items()):
-        keep = (F.col("lang") == lang) & (u < min(1.0, per_lang / n))
-        share = keep if share is None else share | keep
-    if share is None:
-        return [], []
-    got = sorted(rows.where(share).select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    got = common.drawn(rows, "lang", per_lang, max_bytes, seed)
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+def has_letter(text: pa.Array) -> np.ndarray:
+    """Whether a text has a letter (Unicode category L; number characters are none); a null has not."""
+    return pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,7 +185,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 p = m.probabilities(data, off)
                 if p.shape[1]:
                     pred[a:z], conf[a:z] = p.argmax(axis=1), p.max(axis=1)
-            plain = np.fromiter((has_letter(x.as_py()) for x in text), bool, len(b))
+            plain = has_letter(text)
             pred[~plain] = len(m.langs)
             conf[~plain] = 0.0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names[pred], pa.string()), pa.array(conf), pa.array((conf < m.threshold) | (pred == len(m.langs)))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
@@ -202,7 +194,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, per_lang: int = 600) -> Model:
-    """Model from a bounded sample: at most about `per_lang` rows of each language."""
+    """Model from a bounded sample: at most `per_lang` rows of each language."""
     return train(*sample(docs, per_lang))
 
 
@@ -226,7 +218,7 @@ def keep_identified(docs: DataFrame, per_lang: int = 600) -> DataFrame:
                 p = m.probabilities(data, off)
                 if p.shape[1]:
                     conf[a:z] = p.max(axis=1)
-            plain = np.fromiter((has_letter(x.as_py()) for x in text), bool, len(b))
+            plain = has_letter(text)
             yield b.filter(pa.array(plain & (conf >= m.threshold)))
 
     return docs.mapInArrow(keep, docs.schema)
