@@ -9,13 +9,15 @@ at every slot. A round gives each source n blocks and is the same each time, so
 for each set of running sources (a source leaves after the round in which it runs out), and block
 numbers find their slot by division; nothing depends on a global order of rows.
 
-Ranks within a source are found in salted parts (leading hex digits of the hash), so a source with a
-third of all rows is no single task. The schedule has at most sources x period rows; it is broadcast
+Ranks within a source are found in salted parts (leading hex digits of the hash; a part that a hot id
+fills is cut further), so neither a source nor an id with a third of all rows is a single task. The schedule has at most sources x period rows; it is broadcast
 up to BROADCAST_ROWS and joined by shuffle beyond.
 
 Defined cases: a null source counts as the empty one; null ids and repeated rows get places of their
-own (which of two equal rows comes first is open); an empty table gives an empty result; sources
-without a given weight get weight 1. Every row is kept.
+own, in the order of a hash of the whole row (rows that are equal throughout cannot be told apart); an
+empty table gives an empty result; sources without a given weight get weight 1. Every row is kept, with
+all its columns but former ones named like those made here (mix_...), which are replaced. The schedule
+is made in one task (about sources x period x sources steps).
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql.window import Window
 PERIOD = 100
 BLOCK_DOCS = 16
 PART_ROWS = 4096
+HOT_PARTS = 16
 BROADCAST_ROWS = 200_000
 _TIE = 1_000_000
 
@@ -74,32 +77,45 @@ def schedule(sources: DataFrame, block_docs: int) -> DataFrame:
     return done.select(own["s"].alias("s"), own["n"].alias("n"), "low", "high", "base", "q", F.col("pick.j").alias("j"), F.col("t").cast("long").alias("t"), F.floor(F.col("pick.j") * F.col("q") / own["n"]).cast("long").alias("release"), F.floor(((F.col("pick.j") + 1) * F.col("q") + own["n"] - 1) / own["n"]).cast("long").alias("deadline"))
 
 
+MADE = ("mix_block", "mix_round", "mix_slot", "mix_release", "mix_deadline", "mix_place")
+
+
+def _ranked(docs: DataFrame, counted: int) -> DataFrame:
+    """(s, row, rank): each row's place in its source, ordered by a hash of doc_id, then by one of the whole row.
+
+    Places are found part by part (leading hex digits of the first hash); a part that many rows of few
+    ids fill is cut further by both hashes.
+    """
+    digits = max(1, math.ceil(math.log(max(1, counted / PART_ROWS), 16)))
+    row = F.struct(*[c for c in docs.columns if c not in MADE])
+    rows = docs.select(F.coalesce(F.col("source"), F.lit("")).alias("s"), row.alias("row"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
+    rows = rows.withColumns({"part": F.substring("h", 1, digits), "tie": F.hex(F.xxhash64("row"))})
+    full = rows.groupBy("s", "part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_PARTS * PART_ROWS).select(F.col("s").alias("hs"), F.col("part").alias("hp"))
+    rows = rows.join(full, (F.col("s") == F.col("hs")) & (F.col("part") == F.col("hp")), "left")
+    # A longer part begins with the shorter one, so the order of parts stays that of the rows.
+    rows = rows.withColumn("part", F.when(F.col("hs").isNull(), F.col("part")).otherwise(F.concat("h", F.when(F.col("id").isNull(), "0").otherwise("1"), F.substring("tie", 1, digits)))).drop("hs", "hp")
+    parts = rows.groupBy("s", "part").agg(F.count(F.lit(1)).alias("c"))
+    offsets = parts.select(F.col("s").alias("os"), F.col("part").alias("op"), (F.sum("c").over(Window.partitionBy("s").orderBy("part")) - F.col("c")).alias("before"))
+    ranked = rows.join(offsets, (F.col("s") == F.col("os")) & (F.col("part") == F.col("op")))
+    return ranked.select("s", "row", (F.col("before") + F.row_number().over(Window.partitionBy("s", "part").orderBy("h", "id", "tie")) - 1).alias("rank"))
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """All rows of docs with mix_block (of the source), mix_round, mix_slot, mix_release, mix_deadline and mix_place (in the block).
 
     Reading by mix_slot, then mix_place, gives the mixture.
     """
-    made = {"mix_block", "mix_round", "mix_slot", "mix_release", "mix_deadline", "mix_place"}
-    keep = [c for c in docs.columns if c not in made]
-    s = F.coalesce(F.col("source"), F.lit(""))
-    counts = docs.groupBy(s.alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    counts = docs.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("c"))
     size = counts.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    digits = max(1, math.ceil(math.log(max(1, size["n"] / PART_ROWS), 16)))
-    rows = docs.select(*keep, s.alias("_s"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h")).withColumn("_part", F.substring("_h", 1, digits))
-    parts = rows.groupBy("_s", "_part").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = parts.select(F.col("_s").alias("_os"), F.col("_part").alias("_op"), (F.sum("_c").over(Window.partitionBy("_s").orderBy("_part")) - F.col("_c")).alias("_before"))
-    ranked = rows.join(offsets, (F.col("_s") == F.col("_os")) & (F.col("_part") == F.col("_op"))).drop("_os", "_op")
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_part").orderBy("_h", "doc_id")) - 1)
     table = weights_table(counts, weights, period)
-    plan = schedule(table, block_docs).select(*[F.col(c).alias(f"_{c}") if c != "s" else F.col("s").alias("_ps") for c in ("s", "n", "low", "high", "base", "q", "j", "t", "release", "deadline")])
+    plan = schedule(table, block_docs).withColumnRenamed("s", "ps").drop("n")
     # n by source, to find the round before the schedule is joined.
-    small = size["k"] * (period + size["k"]) <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
-    n = hint(table.select(F.col("s").alias("_ns"), F.col("n").alias("_w")))
-    blocks = ranked.join(n, F.col("_s") == F.col("_ns")).withColumn("mix_block", F.expr(f"_rank div {block_docs}")).withColumn("mix_round", F.expr("mix_block div _w"))
-    placed = blocks.join(hint(plan), (F.col("_s") == F.col("_ps")) & (F.col("mix_block") % F.col("_w") == F.col("_j")) & (F.col("mix_round") >= F.col("_low")) & (F.col("mix_round") < F.col("_high")))
-    round_start = F.col("_base") + (F.col("mix_round") - F.col("_low")) * F.col("_q")
-    return placed.select(*keep, "mix_block", "mix_round", (round_start + F.col("_t")).alias("mix_slot"), (round_start + F.col("_release")).alias("mix_release"), (round_start + F.col("_deadline")).alias("mix_deadline"), (F.col("_rank") % block_docs).alias("mix_place"))
+    hint = F.broadcast if size["k"] * (period + size["k"]) <= BROADCAST_ROWS else (lambda df: df)
+    n = hint(table.select(F.col("s").alias("ns"), F.col("n").alias("w")))
+    blocks = _ranked(docs, size["n"]).join(n, F.col("s") == F.col("ns")).withColumn("mix_block", F.expr(f"rank div {block_docs}")).withColumn("mix_round", F.expr("mix_block div w"))
+    placed = blocks.join(hint(plan), (F.col("s") == F.col("ps")) & (F.col("mix_block") % F.col("w") == F.col("j")) & (F.col("mix_round") >= F.col("low")) & (F.col("mix_round") < F.col("high")))
+    start = F.col("base") + (F.col("mix_round") - F.col("low")) * F.col("q")
+    return placed.select("row.*", "mix_block", "mix_round", (start + F.col("t")).alias("mix_slot"), (start + F.col("release")).alias("mix_release"), (start + F.col("deadline")).alias("mix_deadline"), (F.col("rank") % block_docs).alias("mix_place"))
 
 
 SQL = f"""
