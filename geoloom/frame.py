@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 from .errors import CrsError, GeometryTypeError, InvalidOperationError, NotFoundError, ShapeError
@@ -259,13 +260,26 @@ class GeoFrame:
 
     def distance(self, other: GeoFrame, key: str) -> DataFrame:
         """(key, distance) of rows aligned by a key that both frames hold once."""
-        a = self.df.select(key, F.col(self.geometry_name).alias("_a"))
-        b = other.df.select(key, F.col(other.geometry_name).alias("_b"))
-        both = a.join(b, key, "full").select(key, "_a", "_b", F.lit(1).alias("_n"))
-        if self.df.count() != other.df.count():
-            raise ShapeError("frames of different lengths are not aligned")
+        a = self.df.select(key, F.col(self.geometry_name).alias("_a"), F.lit(1).alias("_n"))
+        b = other.df.select(key, F.col(other.geometry_name).alias("_b"), F.lit(1).alias("_m"))
+        both = a.join(b, key, "full")
+        if not both.where("_n IS NULL OR _m IS NULL").isEmpty():
+            raise ShapeError("frames with different keys are not aligned")
         return both.select(key, GeoColumn(F.col("_a"), self.type).geo.distance(GeoColumn(F.col("_b"), other.type)).alias("distance"))
 
+    def frame_equal(self, other: GeoFrame | DataFrame) -> bool:
+        """Whether both hold the same columns and the same rows, each as often, in any order; geometry types count too."""
+        theirs = other.df if isinstance(other, GeoFrame) else other
+        tags = lambda df: [(f.name, f.dataType.simpleString(), GeoType.from_field(f)) for f in df.schema.fields]
+        if tags(self.df) != tags(theirs):
+            return False
+        return self.df.exceptAll(theirs).isEmpty() and theirs.exceptAll(self.df).isEmpty()
+
+    def series_equal(self, other: GeoFrame) -> bool:
+        """Whether the geometry columns hold the same geometries, each as often, whatever their names."""
+        mine, theirs = (GeoFrame(f.df.select(F.col(f.geometry_name).alias("geometry", metadata=f.type.metadata()))) for f in (self, other))
+        return mine.frame_equal(theirs)
+
     def __getattr__(self, name: str):
         if name.startswith("_") or name == "df":
             raise AttributeError(name)
@@ -280,11 +294,15 @@ class GeoFrame:
         return call
 
 
+SLICES = 64
+
+
 def asof(left: DataFrame, right: DataFrame, on: str, by: str | list[str] | None = None) -> DataFrame:
     """As-of join by one union and one window: the last right row at or before the left row.
 
     Rows are ordered by `on` within `by`; of right rows with equal `on`, the largest row wins. Right
     columns other than keys get the suffix `_right` where they clash, and are null without a match.
+    Without `by`, numbers and times are ordered in SLICES slices; other types in one task.
     """
     keys = [] if by is None else [by] if isinstance(by, str) else list(by)
     values = [c for c in right.columns if c not in keys]
@@ -292,6 +310,19 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: str | list[str] | None
     packed = right.select(*keys, F.col(on).alias("_on"), F.lit(0).alias("_side"), F.struct(*values).alias("_r"))
     own = left.select(*keys, F.col(on).alias("_on"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
     both = packed.withColumn("_l", F.lit(None).cast(own.schema["_l"].dataType)).unionByName(own.withColumn("_r", F.lit(None).cast(packed.schema["_r"].dataType)))
-    w = Window.partitionBy(*keys).orderBy("_on", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    slot = [F.col(k) for k in keys]
+    carried = None
+    if not keys and isinstance(left.schema[on].dataType, (NumericType, TimestampType, TimestampNTZType, DateType)):
+        # Without keys, slices of the order are windows of their own; each starts with the last right row before it.
+        number = F.col("_on").cast("timestamp").cast("double") if isinstance(left.schema[on].dataType, (DateType, TimestampNTZType)) else F.col("_on").cast("double")
+        cuts = sorted(set(both.select(number.alias("x")).approxQuantile("x", [i / SLICES for i in range(1, SLICES)], 0.5 / SLICES)))
+        both = both.withColumn("_slot", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= number)))
+        last = both.where("_side = 0").groupBy("_slot").agg(F.max(F.struct("_on", "_r")).alias("_last"))
+        slots = both.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_slot")).join(last, "_slot", "left").coalesce(1)
+        carried = slots.select(F.col("_slot"), F.last("_last._r", ignorenulls=True).over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+        slot = [F.col("_slot")]
+    w = Window.partitionBy(*slot).orderBy("_on", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     hit = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if carried is not None:
+        hit = hit.join(F.broadcast(carried), "_slot").withColumn("_m", F.coalesce("_m", "_before"))
     return hit.select("_l.*", *[F.col(f"_m.{c}").alias(n) for c, n in names.items()])

@@ -209,6 +209,7 @@ def vincenty(lon1, lat1, lon2, lat2) -> np.ndarray:
     ell = (ell + np.pi) % (2 * np.pi) - np.pi
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     lam = ell.copy()
+    more = 2  # rounds after the tolerance is met, which leave only rounding errors
     for _ in range(200):
         sl, cl = np.sin(lam), np.cos(lam)
         ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
@@ -223,7 +224,9 @@ def vincenty(lon1, lat1, lon2, lat2) -> np.ndarray:
         done = np.abs(new - lam) < 1e-12
         lam = new
         if done.all():
-            break
+            more -= 1
+            if more < 0:
+                break
     else:
         raise ComputeError("Vincenty's iteration does not converge (nearly antipodal points); use geodesic")
     u = ca * (A**2 - B**2) / B**2

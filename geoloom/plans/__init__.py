@@ -1,8 +1,9 @@
 """Registered queries over the star schema, with their SQL."""
 
-from . import geo, relational
+from . import exchange, geo, relational
 
-CATALOGUE = geo.QUERIES | relational.QUERIES
+CATALOGUE = geo.QUERIES | relational.QUERIES | exchange.QUERIES
+CATALOGUE["geo_vincenty"] = CATALOGUE["geo_vincenty"][0], exchange.VINCENTY
 
 
 def queries():

@@ -31,6 +31,18 @@ def _asof(s, d):
     return asof(left, right, "ts", "user_id").select("event_id", "user_id", "seen")
 
 
+def _asof_all(s, d):
+    e = _t(s, d, "events").select("event_id", "ts")
+    right = e.where("event_id % 50 = 1").groupBy("ts").agg(F.max("event_id").alias("seen"))
+    return asof(e.where("event_id % 3 = 0"), right, "ts").select("event_id", "seen")
+
+
+def _rolling(s, d):
+    """Count and largest id of the half hour up to each event of a user."""
+    w = W.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-1800, 0)
+    return _t(s, d, "events").where("user_id < 50").select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.max("event_id").over(w).alias("hi"))
+
+
 def _agg(s, d):
     g = _t(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
     q = "l_quantity"
@@ -84,4 +96,9 @@ QUERIES = {
     "rel_math": (lambda s, d: _t(s, d, "part").select("p_partkey", F.round(F.sqrt("p_retailprice"), 6).alias("r"), F.floor("p_retailprice").cast("long").alias("f"), F.abs(F.col("p_size") - 25).alias("a"), F.round(F.log("p_retailprice"), 6).alias("l"), (F.col("p_size") % 7).alias("m")), "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS r, CAST(floor(p_retailprice) AS BIGINT) AS f, abs(p_size - 25) AS a, round(ln(p_retailprice), 6) AS l, p_size % 7 AS m FROM part"),
     "rel_json": (lambda s, d: _ev(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "rel_sample": (lambda s, d: _ev(s, d).sample(fraction=0.1, seed=7).select("event_id"), None),
+    "rel_join_asof_all": (_asof_all, "SELECT l.event_id, r.seen FROM (SELECT event_id, ts FROM events WHERE event_id % 3 = 0) l ASOF LEFT JOIN (SELECT ts, max(event_id) AS seen FROM events WHERE event_id % 50 = 1 GROUP BY ts) r ON l.ts >= r.ts"),
+    "rel_sliding_window": (lambda s, d: _ev(s, d).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1"),
+    "rel_rolling_time": (_rolling, "SELECT event_id, count(*) OVER w AS n, max(event_id) OVER w AS hi FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE user_id < 50) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW)"),
+    "rel_approx_within": (lambda s, d: _t(s, d, "orders").groupBy("o_orderstatus").agg((F.abs(F.approx_count_distinct("o_custkey", 0.02) / F.countDistinct("o_custkey") - 1) < 0.1).alias("close")), "SELECT o_orderstatus, true AS close FROM orders GROUP BY 1"),
+    "rel_sample_within": (lambda s, d: (e := _ev(s, d).select("event_id")).sample(fraction=0.1, seed=7).join(e, "event_id", "left_semi").agg(F.count(F.lit(1)).between(F.lit(e.count() * 0.05), F.lit(e.count() * 0.15)).alias("close"), (F.count(F.lit(1)) == F.countDistinct("event_id")).alias("once")), "SELECT true AS close, true AS once"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,3 +25,25 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path("geoloom") / p.relative_to(root)))
     sc.addPyFile(out)
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where nothing is set and Spark runs in one process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="geoloom-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one file to a store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(content))
+    out.close()

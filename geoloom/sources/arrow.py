@@ -6,6 +6,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .. import codec
 from ..errors import InvalidOperationError
@@ -123,3 +125,25 @@ def from_xy(df: DataFrame, x: str, y: str, name: str = "geometry", crs: str | No
     """Points from two columns."""
     t = GeoType("point", crs=crs)
     return GeoFrame(df.withColumn(name, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).select(*[c for c in df.columns if c != name], F.col(name).alias(name, metadata=t.metadata())), name)
+
+
+def from_data(spark: SparkSession, data, columns: list[str] | None = None, orient: str | None = None, geometry: str = "geometry", kind: str = "wkb", crs: str | None = None) -> GeoFrame:
+    """A frame from a dict of columns, or from a list of rows (orient "row") or of columns (orient "col") with their names.
+
+    Geometries of a typed kind are nested tuples of coordinates; of kind "wkb" they are bytes.
+    """
+    if orient not in (None, "row", "col"):
+        raise InvalidOperationError(f"orient is 'row' or 'col', not {orient!r}")
+    if isinstance(data, dict):
+        columns, data = columns or list(data), list(zip(*data.values(), strict=True))
+    elif orient == "col":
+        data = list(zip(*data, strict=True))
+    if not columns or geometry not in columns:
+        raise InvalidOperationError(f"columns must name {geometry!r}")
+    t = GeoType(kind, crs=crs)
+    rest = [i for i, c in enumerate(columns) if c != geometry]
+    at = columns.index(geometry)
+    plain = pa.table({columns[i]: [r[i] for r in data] for i in rest}) if rest else None
+    schema = T.StructType([*(T.StructField(columns[i], from_arrow_type(plain.schema.field(columns[i]).type)) for i in rest), t.to_field(geometry)])
+    df = spark.createDataFrame([tuple([*(r[i] for i in rest), r[at]]) for r in data], schema)
+    return GeoFrame(df.select(*columns), geometry)

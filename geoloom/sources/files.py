@@ -1,13 +1,14 @@
 """Vector files: GeoJSON (and line-delimited GeoJSON), GeoPackage, Shapefile, Arrow IPC, Parquet.
 
 Files are opened by Spark's readers, so any store Spark reads will do. Line-delimited GeoJSON is split across
-tasks; the binary formats are one task a file.
+tasks; the binary formats are one task a file (an Arrow file goes through the driver, as its types do).
 """
 
 from __future__ import annotations
 
 import datetime
 import os
+import re
 import sqlite3
 import struct
 import tempfile
@@ -170,12 +171,33 @@ def _dbf_value(text: str, kind: str):
 
 
 def _shapefile(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+    """Both files meet in one task; the driver reads only the table's header."""
     stem = os.path.splitext(path)[0]
-    parts = {os.path.splitext(r["path"])[1].lower(): bytes(r["content"]) for r in spark.read.format("binaryFile").load([stem + ".shp", stem + ".dbf"]).collect()}
-    geoms = _shp(parts[".shp"])
-    table = _dbf(parts[".dbf"], encoding)
-    table = table.append_column("geometry", pa.array([None if g is None else codec.to_wkb(g) for g in geoms], pa.binary()))
-    return spark.createDataFrame(table.add_column(0, "fid", pa.array(range(len(table)), pa.int64())))
+    files = spark.read.format("binaryFile").load([stem + ".shp", stem + ".dbf"]).select(F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("ext"), "content")
+    head = files.where("ext = 'dbf'").select(F.substring("content", 1, 32 + 32 * 256).alias("head")).first()
+    if head is None:
+        raise NotFoundError(f"no table beside {path}")
+    none = bytearray(head["head"])
+    none[4:8] = bytes(4)  # no records
+    schema = _dbf(bytes(none), encoding).schema.insert(0, pa.field("fid", pa.int64())).append(pa.field("geometry", pa.binary()))
+    both = files.groupBy().agg(*[F.max(F.when(F.col("ext") == e, F.col("content"))).alias(e) for e in ("shp", "dbf")])
+
+    def run(batches):
+        for b in batches:
+            for shp, dbf in zip(b.column("shp").to_pylist(), b.column("dbf").to_pylist(), strict=True):
+                geoms, table = _shp(shp), _dbf(dbf, encoding)
+                table = table.append_column("geometry", pa.array([None if g is None else codec.to_wkb(g) for g in geoms], pa.binary()))
+                yield from table.add_column(0, "fid", pa.array(range(len(table)), pa.int64())).cast(schema).to_batches()
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return both.mapInArrow(run, from_arrow_schema(schema))
+
+
+def _named(sql: str) -> str:
+    """The query with the view's name as a placeholder, but not inside literals, quoted names or longer names."""
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return re.sub(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|\bfeatures\b""", lambda m: m[1] or "{features}", plain)
 
 
 def _with_fid(df: DataFrame) -> DataFrame:
@@ -201,8 +223,10 @@ def read_file(spark: SparkSession, path: str, *, layer=None, encoding: str | Non
     elif ext == ".shp":
         df = _shapefile(spark, path, encoding)
     elif ext in (".arrow", ".feather", ".ipc"):
-        with pa.memory_map(path) as f:
-            got = from_arrow(spark, pa.ipc.open_file(f).read_all())
+        found = spark.read.format("binaryFile").load(path).select("content").first()
+        if found is None:
+            raise NotFoundError(f"no file at {path}")
+        got = from_arrow(spark, pa.ipc.open_file(pa.py_buffer(bytes(found["content"]))).read_all())
         df = got.df if isinstance(got, GeoFrame) else got
     elif ext in (".parquet", ".geoparquet"):
         df = spark.read.parquet(path)
@@ -213,7 +237,7 @@ def read_file(spark: SparkSession, path: str, *, layer=None, encoding: str | Non
     if sql is not None:
         if sql_dialect not in (None, "spark"):
             raise InvalidOperationError("sql_dialect: only spark")
-        df = spark.sql(sql.replace("features", "{features}"), features=df)
+        df = spark.sql(_named(sql), features=df)
         df = _with_fid(df)
         geometry = geometry if geometry in df.columns else None
     if fids is not None:
