@@ -22,20 +22,26 @@ IPv6 that begins or ends with '::', secrets of other forms.
 Invalid look-alikes stay as they are. The round function is SHA-256 of key, kind, round and other half.
 
 Defined cases: a null text stays null, an empty one empty; texts without a digit, '@' or AWS prefix pass unread;
-rows are treated one by one, so repeated rows, ties and other columns do not matter (columns named
-like those made here are replaced).
+rows are treated one by one, so repeated rows and ties do not matter; other columns stay as they are
+(but pii_found and pii_replaced, where counts are asked for, hold the counts).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 ROUNDS = 8
-KEY = "geoloom-demo-key"  # production passes its own secret
+KEY = "geoloom-demo-key"  # for demonstrations and tests
+KEY_SETTING = "spark.geoloom.pii.key"  # the session's secret
 
-# Fixed patterns; the first alternative that fits wins. Valid in Java and in RE2.
-EMAIL = r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Fixed patterns; the first alternative that fits wins. An address is tried only where its run of characters
+# begins and gives no character back, and all repetitions of groups are bounded, so matching is linear in the text.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b"
 BARE = r"\b(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}\b"
 ABROAD = r"\+[1-9]\d{7,14}\b|\+1[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\b|\+[1-9]\d{0,2}[ .-]\d{1,2}(?:[ .-]\d{2}){4}\b|\+[1-9]\d{0,2}(?:[ .-]\d{2,8}){1,3}\b"
@@ -208,13 +214,24 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with the text's personal data replaced, and pii_found and pii_replaced (long)."""
+def session_key(spark: SparkSession) -> str:
+    """The secret of the session; without one the demonstration key, with a warning, as its pseudonyms are no protection."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set; pseudonyms are made with the published demonstration key", stacklevel=2)
+    return key or KEY
+
+
+def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the text's personal data replaced, and (with counts) pii_found and pii_replaced (long)."""
     text = F.col(column)
+    found, made = common.fresh(docs, "found"), common.fresh(docs, "made")
     maybe = text.rlike("[0-9@]|AKIA|ASIA")
-    rows = docs.withColumn("_found", F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_made", F.transform("_found", lambda m: pseudonym(m, key)))
+    rows = docs.withColumn(found, F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(made, F.transform(found, lambda m: pseudonym(m, key)))
     between = F.split(text, ANY, -1)
-    filled = F.array_join(F.zip_with(between, F.zip_with("_made", "_found", lambda a, b: F.coalesce(a, b)), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
-    rows = rows.withColumn(column, F.when(F.size("_found") > 0, filled).otherwise(text))
-    return rows.withColumns({"pii_found": F.size("_found").cast("long"), "pii_replaced": F.size(F.filter("_made", lambda x: x.isNotNull())).cast("long")}).drop("_found", "_made")
+    filled = F.array_join(F.zip_with(between, F.zip_with(made, found, lambda a, b: F.coalesce(a, b)), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    rows = rows.withColumn(column, F.when(F.size(found) > 0, filled).otherwise(text))
+    if counts:
+        rows = rows.withColumns({"pii_found": F.size(found).cast("long"), "pii_replaced": F.size(F.filter(made, lambda x: x.isNotNull())).cast("long")})
+    return rows.drop(found, made)
