@@ -20,8 +20,8 @@ item has fewer).
 
 Defined cases: null or empty texts and items match nothing; an item with fewer than WINDOW tokens
 is matched whole if it has at least SHORTEST, and one without a window of LITERALS plain words never; repeated rows of a doc_id
-are one document; a null doc_id or item_id is left out (and in `clean` such rows stay); extra
-columns do not matter.
+are one document; items of equal text are found together (item_id is the smallest, n_items counts
+each); a null doc_id or item_id is left out (and in `clean` such rows stay); extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textcore as tc
 
 _U = np.uint64
@@ -218,6 +219,9 @@ def _longest(places: str):
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_items) of contaminated documents; item_id is the best covered."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    # Items of one text are one item to the search; the smallest id stands for them and n_items counts them all.
+    alike = common.kept(items.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("alike")))
+    items = alike.select("item_id", "text")
     made = items.mapInArrow(_benchmark_windows, "item_id long, kind int, at long, size int, win long, slots array<long>, n int")
     # The item with the fewest windows owns a window; a window repeated in an item stands for its first place.
     owned = made.groupBy("win").agg(F.min(F.struct("n", "item_id", "at", "size", "slots", "kind")).alias("o")).select("win", "o.item_id", "o.kind", F.col("o.at").alias("item_at"), F.col("o.size").alias("size"), F.col("o.slots").alias("item_slots"))
@@ -235,11 +239,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -
     covered = consistent.withColumn("run", _longest("places")).groupBy("doc_id", "item_id", "kind").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"), F.max("run").alias("run"))
     share = (F.col("n_windows") >= coverage * F.col("own")) & (F.col("n_windows") >= F.least(F.lit(LEAST), F.col("own")))
     judged = covered.join(totals, ["item_id", "kind"]).where(share | (F.col("run") >= RUN))
-    best = judged.groupBy("doc_id").agg(F.max(F.struct((F.col("n_windows") / F.col("own")).alias("coverage"), "n_windows", (-F.col("item_id")).alias("neg"))).alias("m"), F.count_distinct("item_id").alias("n_items"))
+    judged = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_windows") / F.col("own")).alias("coverage"), "n_windows")).alias("m")).join(alike.groupBy("item_id").agg(F.max("alike").alias("alike")), "item_id")
+    best = judged.groupBy("doc_id").agg(F.max(F.struct("m.coverage", "m.n_windows", (-F.col("item_id")).alias("neg"))).alias("m"), F.sum("alike").alias("n_items"))
     return best.select("doc_id", (-F.col("m.neg")).alias("item_id"), F.col("m.n_windows").cast("long").alias("n_windows"), F.col("m.coverage").alias("coverage"), "n_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    mark = common.fresh(docs, "bad")
+    bad = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias(mark))
+    return docs.join(bad, F.col("doc_id") == F.col(mark), "left_anti")
