@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, as a Parquet table, and returns the columns of
 documents; the last adds the columns of the mixture.
+
+Defined cases: texts that are null, empty or without a letter go in the first stage; rows with a null
+doc_id and a text stay throughout, as no other row can be named their copy; of repeated rows of a doc_id
+one stays; a null source is mixed as the empty one; an empty table gives an empty result; extra columns
+stay as they are. Ties are settled by the smallest doc_id (near duplicates) and a hash (mixture).
+A stage's table is deleted once its successor's is written.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm import decontaminate, lang_id, mixing, ngram_join, pii
-from geoloom.llm.common import shared, table
+from geoloom.llm.common import removed, shared, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts; n_chars follows the text."""
-    return pii.pseudonymise(docs).drop("pii_found", "pii_replaced")
+    return pii.pseudonymise(docs, pii.session_key(spark), counts=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
