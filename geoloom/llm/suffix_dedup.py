@@ -9,12 +9,12 @@ A byte goes if a `span`-byte string that covers it also starts in a document wit
    two documents or more are sent back.
 3. Suffix sorting. Blocks send the pieces at such anchors, equal pieces once with the block's
    smallest doc_id, to the anchor's bucket, which sorts all suffixes of at least `span` bytes of the
-   distinct pieces: multikey quicksort on 8-byte symbols to the shallow depth of 24 bytes, then
-   blind tries order each group that is still equal. Neighbours with a common prefix of `span` bytes
+   distinct pieces: multikey quicksort on 8-byte symbols to the shallow depth of 24 bytes, then a
+   blind trie orders each group, of two or more, that is still equal. Neighbours with a common prefix of `span` bytes
    are one string; its smallest doc_id goes back to the blocks.
 4. Blocks mark the covered bytes.
 
-A passage that a third of all documents share is one piece a block. Pieces are named by 64-bit hashes.
+A passage that a third of all documents share is one piece a block. Pieces are named by 128-bit hashes.
 
 Defined cases: a null text is empty; texts under `span` bytes lose nothing; a null doc_id counts as
 larger than all others; repeated rows of a doc_id do not remove each other; extra columns are left out.
@@ -36,9 +36,11 @@ from .lm_score import decode, encode, merged
 _U = np.uint64
 GRAM = 16
 SHALLOW = 24
+BATCH = 1 << 17
 LAST = np.iinfo(np.int64).max
 _BYTES = tc.seeded(31, 256)
 _MULS = tc.seeded(32, 8) | _U(1)
+_SECOND = tc.seeded(33, 256)
 
 
 # ---- anchors and pieces ------------------------------------------------------------------------
@@ -103,7 +105,8 @@ class BlindTrie:
         if other == s:
             node[1].append(item)
             return
-        depth = next(i for i in range(len(s)) if s[i] != other[i])
+        differ = int.from_bytes(s, "big") ^ int.from_bytes(other, "big")
+        depth = len(s) - (differ.bit_length() + 7) // 8
         above = None
         node = self.root
         while isinstance(node[1], dict) and node[0] < depth:
@@ -130,56 +133,66 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(text: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the places `at` by their first `limit` bytes, starts and sizes of the runs of two or more that agree on them).
+
+    Symbols are 8 bytes. A segment is parted by the median of three of its symbols into smaller,
+    equal and larger; the equal part goes on with the next symbol. Segments of a batch are parted
+    together; a batch holds BATCH places, or one segment, so temporaries shrink with the segments.
+    """
+    order, symbol = np.arange(len(at)), _symbols(text, at)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    todo = [tuple(np.array([x]) for x in (0, len(at), 0))] if len(at) > 1 else []
+    while todo:
+        start, size, depth = todo.pop()
+        edge = np.cumsum(size) - size
+        place = np.repeat(start - edge, size) + np.arange(size.sum())
+        item = order[place]
+        key = symbol[item]
+        x, y, z = key[edge], key[edge + size // 2], key[edge + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        less, equal = key < pivot, key == pivot
+        n_less, n_equal = np.add.reduceat(less, edge, dtype=np.int64), np.add.reduceat(equal, edge, dtype=np.int64)
+        first_equal = start + n_less
+        first_more = first_equal + n_equal
+        to = np.empty(len(item), np.int64)
+        for part, first in ((less, start), (equal, first_equal), (~(less | equal), first_more)):
+            before = np.cumsum(part) - part
+            to[part] = (before + np.repeat(first - before[edge], size))[part]
+        order[to] = item
+        # The equal parts move to the next symbol, or are done at the limit.
+        end = depth + 8 >= limit
+        done.append((first_equal[end & (n_equal > 1)], n_equal[end & (n_equal > 1)]))
+        next_ = np.flatnonzero(equal & np.repeat(~end & (n_equal > 1), size))
+        symbol[item[next_]] = _symbols(text, at[item[next_]] + np.repeat(depth + 8, size)[next_])
+        start = np.concatenate([start, first_equal, first_more])
+        size = np.concatenate([n_less, np.where(end, 0, n_equal), size - n_less - n_equal])
+        depth = np.concatenate([depth, depth + 8, depth])
+        live = size > 1
+        start, size, depth = start[live], size[live], depth[live]
+        if len(start):
+            cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // BATCH)) + 1
+            todo += zip(*(np.split(x, cut) for x in (start, size, depth)), strict=True)
+    start, size = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+    by = np.argsort(start)
+    return order, start[by], size[by]
+
+
 def sort_suffixes(text: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """(order of the places `at` by their span bytes, True where a string differs from the one before)."""
-    n = len(at)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+    depth = min(SHALLOW, span) // 8 * 8
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    depth = 0
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)  # of each place in the order: the first place of its group
-    live = np.arange(n)  # places in groups of two or more
-    while depth + 8 <= min(SHALLOW, span) and len(live):
-        key = _symbols(padded, at[order[live]] + depth)
-        by = np.lexsort((key, group[live])) if depth else np.argsort(key, kind="stable")
-        order[live] = order[live][by]
-        key, g = key[by], group[live]
-        cut = np.ones(len(live), bool)
-        cut[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-        start = np.flatnonzero(cut)
-        size = np.diff(np.append(start, len(live)))
-        group[live] = np.repeat(live[start], size)
-        live = live[np.repeat(size > 1, size)]
-        depth += 8
-    new = np.ones(n, bool)
-    new[1:] = group[1:] != group[:-1]
-    if not len(live):
-        return order, new
-    g = group[live]
-    start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    size = np.diff(np.append(start, len(live)))
-    # Groups of two: a trie of two leaves is one comparison.
-    two = live[start[size == 2]]
-    if len(two):
-        a, b = at[order[two]] + depth, at[order[two + 1]] + depth
-        sign = np.zeros(len(two), np.int8)
-        for j in range(span - depth):
-            x, y = padded[a + j], padded[b + j]
-            sign = np.where(sign == 0, np.where(x < y, -1, np.where(x > y, 1, 0)), sign)
-        swap = two[sign > 0]
-        order[swap], order[swap + 1] = order[swap + 1].copy(), order[swap].copy()
-        new[two + 1] = sign != 0
+    new = np.ones(len(at), bool)
+    order, start, size = multikey_quicksort(padded, at, depth) if depth else (np.arange(len(at)), np.zeros(1, np.int64), np.array([len(at)]))
     raw = text.tobytes()
-    for a, k in zip(live[start[size > 2]], size[size > 2], strict=True):
+    for a, k in zip(start.tolist(), size.tolist(), strict=True):
         trie = BlindTrie()
-        for i in order[a : a + k]:
-            p = int(at[i])
-            trie.insert(raw[p + depth : p + span], int(i))
+        items = order[a : a + k]
+        for i, p in zip(items.tolist(), (at[items] + depth).tolist(), strict=True):
+            trie.insert(raw[p : p + span - depth], i)
         put = a
         for same in trie.ordered():
             order[put : put + len(same)] = same
-            new[put] = True
             new[put + 1 : put + len(same)] = False
             put += len(same)
     return order, new
@@ -235,9 +248,36 @@ def _distinct(table):
     return one[first], two[first], ids[first], table.column("text").combine_chunks().take(pa.array(order[text_row]))
 
 
-def _bucket_rows(block: int, name: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    edges = np.searchsorted(name, np.array([(i << 48) // buckets for i in range(1, buckets)], np.uint64))
-    return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip([0, *edges], [*edges, len(name)], strict=True)) if b > a]
+def _bucket_rows(name: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the sorted 48-bit names of each bucket that has any."""
+    if not len(name):
+        return []
+    bucket = ((name >> _U(16)) * _U(buckets)) >> _U(32)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(name)], strict=True))
+
+
+def _named(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of byte spans, in two halves."""
+    return tc.span_hash(tc.prefix_hash(data), start, end), tc.span_hash(tc.prefix_hash(data, table=_SECOND), start, end)
+
+
+def _piece_names(raw: np.ndarray, cut: np.ndarray, step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the pieces raw[cut[i]:cut[i + 1]], some thousands at a time."""
+    parts = [(np.zeros(0, np.uint64),) * 2]
+    for i in range(0, len(cut) - 1, step):
+        c = cut[i : i + step + 1]
+        parts.append(_named(raw[c[0] : c[-1]], c[:-1] - c[0], c[1:] - c[0]))
+    one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return one, two
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """True where any of the sorted keys differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
@@ -258,7 +298,7 @@ def _send_anchors(span: int, buckets: int):
             names.append(k)
             counts.append(c.astype(np.uint64))
         k, c = merged(names, counts)
-        rows = [(i, key[0].as_py(), encode(k[a:b], np.minimum(c[a:b], _U(2)))) for i, a, b in _bucket_rows(0, k, buckets)]
+        rows = [(i, key[0].as_py(), encode(k[a:b], np.minimum(c[a:b], _U(2)))) for i, a, b in _bucket_rows(k, buckets)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT) if rows else _SENT.empty_table()
 
     return run
@@ -298,7 +338,7 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-_PIECE = (np.uint64, np.int64, np.uint8, np.uint8, np.uint8)  # hash, smallest doc_id, several?, length, bytes
+_PIECE = (np.int64, np.uint8, np.uint8, np.uint8)  # smallest doc_id, several?, length, bytes
 
 
 def _send_pieces(span: int, buckets: int):
@@ -315,32 +355,28 @@ def _send_pieces(span: int, buckets: int):
             if not len(a):
                 continue
             end = b + span
-            ph = tc.span_hash(tc.prefix_hash(data), a, end)
+            one, two = _named(data, a, end)
             length = end - a
             cut = np.cumsum(np.append(0, length))
             raw = data[np.arange(cut[-1]) + np.repeat(a - cut[:-1], length)]
-            order = np.lexsort((ids[row + doc], ph))
-            new = np.ones(len(order), bool)
-            new[1:] = ph[order[1:]] != ph[order[:-1]]
-            first = np.flatnonzero(new)
+            order = np.lexsort((ids[row + doc], two, one))
+            first = np.flatnonzero(_changes(one[order], two[order]))
             lead = order[first]
             many = np.diff(np.append(first, len(order))) > 1
-            got.append((name[lead], ph[lead], ids[row + doc[lead]], many, length[lead], _slices(raw, cut, lead)))
+            got.append((name[lead], one[lead], two[lead], ids[row + doc[lead]], many, length[lead], _slices(raw, cut, lead)))
         if not got:
             return _SENT.empty_table()
-        name, ph, owner, many, length, raw = (np.concatenate(x) for x in zip(*got, strict=True))
+        name, one, two, owner, many, length, raw = (np.concatenate(x) for x in zip(*got, strict=True))
         cut = np.cumsum(np.append(0, length))
-        order = np.lexsort((owner, ph, name))
-        new = np.ones(len(order), bool)
-        new[1:] = ph[order[1:]] != ph[order[:-1]]
-        first = np.flatnonzero(new)
+        order = np.lexsort((owner, two, one, name))
+        first = np.flatnonzero(_changes(one[order], two[order]))
         size = np.diff(np.append(first, len(order)))
         many = np.logical_or.reduceat(many[order], first) | (size > 1)
         lead = order[first]
         rows = []
-        for i, s, e in _bucket_rows(0, name[lead], buckets):
+        for i, s, e in _bucket_rows(name[lead], buckets):
             part = lead[s:e]
-            rows.append((i, key[0].as_py(), _pack(ph[part], owner[part], many[s:e].astype(np.uint8), length[part].astype(np.uint8), _slices(raw, cut, part))))
+            rows.append((i, key[0].as_py(), _pack(owner[part], many[s:e].astype(np.uint8), length[part].astype(np.uint8), _slices(raw, cut, part))))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
     return run
@@ -356,12 +392,14 @@ def _slices(raw: np.ndarray, cut: np.ndarray, which: np.ndarray) -> np.ndarray:
 def _sort_bucket(span: int):
     def run(table):
         sent = [(b, *_unpack(x, *_PIECE)) for b, x in zip(table.column("block").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-        ph, owner, length, raw = (np.concatenate([s[i] for s in sent]) for i in (1, 2, 4, 5))
+        owner, length, raw = (np.concatenate([s[i] for s in sent]) for i in (1, 3, 4))
         cut = np.cumsum(np.append(0, length.astype(np.int64)))
-        order = np.lexsort((owner, ph))
-        new = np.ones(len(order), bool)
-        new[1:] = ph[order[1:]] != ph[order[:-1]]
-        lead = order[np.flatnonzero(new)]  # distinct pieces, by hash; the smallest owner leads
+        one, two = _piece_names(raw, cut)
+        order = np.lexsort((owner, two, one))
+        new = _changes(one[order], two[order])
+        lead = order[np.flatnonzero(new)]  # distinct pieces, by name; the smallest owner leads
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
         text = _slices(raw, cut, lead)
         size = length[lead].astype(np.int64)
         low, ptr = smallest_owner(text, np.cumsum(np.append(0, size))[:-1], size, owner[lead], span)
@@ -375,15 +413,16 @@ def _sort_bucket(span: int):
         a, b, m = (start - ptr[of]).astype(np.uint8), (stop - 1 - ptr[of]).astype(np.uint8), low[start]
         by = np.searchsorted(of, np.arange(len(lead) + 1))
         least = np.minimum.reduceat(low, ptr[:-1]) if len(low) else low
-        names = ph[lead]
-        rows = []
-        for block, own, mine, many, _, _ in sent:
-            i = np.searchsorted(names, own)
+        one, two = one[lead], two[lead]
+        rows, at = [], 0
+        for block, mine, many, _, _ in sent:
+            i = which[at : at + len(mine)]
+            at += len(mine)
             i = i[(many > 0) | (least[i] < mine)]
             if len(i):
                 n = by[i + 1] - by[i]
                 pick = np.repeat(by[i] - np.cumsum(np.append(0, n))[:-1], n) + np.arange(n.sum())
-                rows.append((block, _pack(np.repeat(names[i], n), a[pick], b[pick], m[pick])))
+                rows.append((block, _pack(np.repeat(one[i], n), np.repeat(two[i], n), a[pick], b[pick], m[pick])))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _BACK, strict=True)], schema=_BACK) if rows else _BACK.empty_table()
 
     return run
@@ -392,18 +431,18 @@ def _sort_bucket(span: int):
 _RESULT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("first_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def covered(data: np.ndarray, off: np.ndarray, ids: np.ndarray, span: int, names: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Which bytes of a chunk go, from the answers by piece (sorted by name)."""
+def covered(data: np.ndarray, off: np.ndarray, ids: np.ndarray, span: int, one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which bytes of a chunk go, from the answers by piece (sorted by the first half of its name)."""
     gone = np.zeros(len(data), bool)
     first, last, _, doc = pieces(data, off, span)
-    if not len(first) or not len(names):
+    if not len(first) or not len(one):
         return gone
-    ph = tc.span_hash(tc.prefix_hash(data), first, last + span)
-    lo, hi = np.searchsorted(names, ph), np.searchsorted(names, ph, side="right")
+    own, half = _named(data, first, last + span)
+    lo, hi = np.searchsorted(one, own), np.searchsorted(one, own, side="right")
     n = hi - lo
     pick = np.repeat(lo - np.cumsum(np.append(0, n))[:-1], n) + np.arange(n.sum())
     of = np.repeat(np.arange(len(first)), n)
-    smaller = low[pick] < ids[doc[of]]
+    smaller = (two[pick] == half[of]) & (low[pick] < ids[doc[of]])
     pick, of = pick[smaller], of[smaller]
     change = np.zeros(len(data) + 1, np.int64)
     np.add.at(change, first[of] + a[pick], 1)
@@ -415,14 +454,14 @@ def _mark(span: int):
     def run(key, table, answers):
         if not table.num_rows:
             return _RESULT.empty_table()
-        parts = [_unpack(x, np.uint64, np.uint8, np.uint8, np.int64) for x in answers.column("blob").to_pylist()]
-        names, a, b, low = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 4
-        order = np.argsort(names, kind="stable")
-        names, a, b, low = names[order], a[order].astype(np.int64), b[order].astype(np.int64), low[order].astype(np.int64)
+        parts = [_unpack(x, np.uint64, np.uint64, np.uint8, np.uint8, np.int64) for x in answers.column("blob").to_pylist()]
+        name, half, a, b, low = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 5
+        order = np.argsort(name, kind="stable")
+        name, half, a, b, low = name[order], half[order], a[order].astype(np.int64), b[order].astype(np.int64), low[order].astype(np.int64)
         one, two, ids, texts = _distinct(table)
         removed, spans, sha = [], [], []
         for row, _, data, off in tc.chunks(texts):
-            gone = covered(data, off, ids[row:], span, names, a, b, low)
+            gone = covered(data, off, ids[row:], span, name, half, a, b, low)
             for i in range(len(off) - 1):
                 g, d = gone[off[i] : off[i + 1]], data[off[i] : off[i + 1]]
                 k = int(g.sum())
@@ -438,7 +477,9 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def dedup(docs: DataFrame, span: int = 50) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document; span from 16 to 135 bytes."""
+    if not GRAM <= span <= 135:
+        raise ValueError(f"span must be from {GRAM} to 135 bytes, not {span}")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.col("doc_id").cast("long").alias("own_id")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(50), "text"), "n_bytes": F.octet_length("text").cast("long")})
     blocks = common.blocks_for(common.text_bytes(docs))

@@ -104,11 +104,12 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return runs(~IS_SPACE[data], off)
 
 
-def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Polynomial prefix sums H with H[b] - H[a] the hash of data[a:b], shifted by P**a."""
+def prefix_hash(data: np.ndarray, lower: bool = False, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial prefix sums H with H[b] - H[a] the hash of data[a:b], shifted by P**a; `table` gives other values of the bytes."""
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * _power("pow", len(data)), out=out[1:])
+        values = table if table is not None else _BYTE_LOWER if lower else _BYTE
+        np.cumsum(values[data] * _power("pow", len(data)), out=out[1:])
     return out
 
 

@@ -289,6 +289,39 @@ def test_sorting_is_right(strings):
     assert [bool(x) for x in new] == [i == 0 or ordered[i] != ordered[i - 1] for i in range(len(ordered))]
 
 
+def test_multikey_quicksort_parts_by_symbols(monkeypatch):
+    rng = np.random.default_rng(6)
+    for batch in (64, 1 << 17):
+        monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+        text = rng.integers(97, 99, 3000).astype(np.uint8)
+        text = np.concatenate([text, text[:900], text[300:600], np.full(400, 97, np.uint8)])
+        at = rng.permutation(len(text) - 50)
+        raw = text.tobytes()
+        order, start, size = suffix_dedup.multikey_quicksort(np.append(text, np.zeros(8, np.uint8)), at, 24)
+        heads = [raw[at[i] : at[i] + 24] for i in order]
+        assert heads == sorted(heads)
+        runs = {a: k for a, k in zip(start.tolist(), size.tolist(), strict=True)}
+        firsts = [i for i in range(len(heads)) if i == 0 or heads[i] != heads[i - 1]]
+        assert runs == {a: b - a for a, b in zip(firsts, [*firsts[1:], len(heads)], strict=True) if b - a > 1}
+        order, new = suffix_dedup.sort_suffixes(text, at, 50)
+        strings = [raw[at[i] : at[i] + 50] for i in order]
+        assert strings == sorted(strings)
+        assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+
+
+def test_pieces_have_two_names_and_one_bucket():
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 256, 100_000).astype(np.uint8)
+    cut = np.append(np.arange(0, 99_990, 60), 100_000)
+    assert all((a == b).all() for a, b in zip(suffix_dedup._piece_names(data, cut, step=7), suffix_dedup._named(data, cut[:-1], cut[1:]), strict=True))
+    name = np.unique(rng.integers(0, 1 << 48, 5000).astype(np.uint64))
+    for buckets in (1, 16, 12_000_000):
+        got = suffix_dedup._bucket_rows(name, buckets)
+        assert [(a, b) for _, a, b in got] == list(zip([0, *[b for _, _, b in got[:-1]]], [b for _, _, b in got], strict=True)) and got[-1][2] == len(name)
+        assert [i for i, _, _ in got] == sorted({i for i, _, _ in got}) and 0 <= got[0][0] and got[-1][0] < buckets
+    assert suffix_dedup._bucket_rows(name[:0], 16) == []
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "[INST]"]), st.text(alphabet="a\\ é\n", max_size=8) | st.sampled_from(["</s>", "[INST] x [/INST]", "\\</s>", "\\\\", " <|text|> ", "<s> </s>"])), max_size=5))
 def test_chat_round_trip(turns):
     text, spans = chat.render(turns)
