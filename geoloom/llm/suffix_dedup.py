@@ -77,10 +77,8 @@ def pieces(data: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, np
 # ---- suffix sorting ----------------------------------------------------------------------------
 def _symbols(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 8 bytes at each place as one big-endian number, so numbers compare as bytes do."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out = (out << _U(8)) | text[at + j].astype(np.uint64)
-    return out
+    everywhere = np.ndarray(max(len(text) - 7, 0), ">u8", text, strides=(1,))
+    return everywhere[at].astype(np.uint64)
 
 
 class BlindTrie:
@@ -133,6 +131,13 @@ class BlindTrie:
         return out
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (size[i] of them), one range after the other."""
+    if len(start) == 1:
+        return np.arange(start[0], start[0] + size[0])
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def multikey_quicksort(text: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order of the places `at` by their first `limit` bytes, starts and sizes of the runs of two or more that agree on them).
 
@@ -140,34 +145,34 @@ def multikey_quicksort(text: np.ndarray, at: np.ndarray, limit: int) -> tuple[np
     equal and larger; the equal part goes on with the next symbol. Segments of a batch are parted
     together; a batch holds BATCH places, or one segment, so temporaries shrink with the segments.
     """
-    order, symbol = np.arange(len(at)), _symbols(text, at)
+    text = np.ascontiguousarray(text)
+    order, symbol = np.arange(len(at)), _symbols(text, at)  # both by place
     done: list[tuple[np.ndarray, np.ndarray]] = []
     todo = [tuple(np.array([x]) for x in (0, len(at), 0))] if len(at) > 1 else []
     while todo:
         start, size, depth = todo.pop()
         edge = np.cumsum(size) - size
-        place = np.repeat(start - edge, size) + np.arange(size.sum())
-        item = order[place]
-        key = symbol[item]
+        place = _ranges(start, size)
+        item, key = order[place], symbol[place]
         x, y, z = key[edge], key[edge + size // 2], key[edge + size - 1]
         pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
-        less, equal = key < pivot, key == pivot
-        n_less, n_equal = np.add.reduceat(less, edge, dtype=np.int64), np.add.reduceat(equal, edge, dtype=np.int64)
+        less, more = key < pivot, key > pivot
+        parts = [np.flatnonzero(p) for p in (less, ~(less | more), more)]
+        n_less, n_equal, n_more = (np.diff(np.append(np.searchsorted(p, edge), len(p))) for p in parts)
         first_equal = start + n_less
         first_more = first_equal + n_equal
-        to = np.empty(len(item), np.int64)
-        for part, first in ((less, start), (equal, first_equal), (~(less | equal), first_more)):
-            before = np.cumsum(part) - part
-            to[part] = (before + np.repeat(first - before[edge], size))[part]
-        order[to] = item
+        to = np.concatenate([_ranges(f, n) for f, n in ((start, n_less), (first_equal, n_equal), (first_more, n_more))])
+        of = np.concatenate(parts)
+        order[to], symbol[to] = item[of], key[of]
         # The equal parts move to the next symbol, or are done at the limit.
-        end = depth + 8 >= limit
-        done.append((first_equal[end & (n_equal > 1)], n_equal[end & (n_equal > 1)]))
-        next_ = np.flatnonzero(equal & np.repeat(~end & (n_equal > 1), size))
-        symbol[item[next_]] = _symbols(text, at[item[next_]] + np.repeat(depth + 8, size)[next_])
-        start = np.concatenate([start, first_equal, first_more])
-        size = np.concatenate([n_less, np.where(end, 0, n_equal), size - n_less - n_equal])
-        depth = np.concatenate([depth, depth + 8, depth])
+        many, end = n_equal > 1, depth + 8 >= limit
+        done.append((first_equal[many & end], n_equal[many & end]))
+        on = many & ~end
+        place = _ranges(first_equal[on], n_equal[on])
+        symbol[place] = _symbols(text, at[order[place]] + np.repeat(depth[on] + 8, n_equal[on]))
+        start = np.concatenate([start, first_equal[on], first_more])
+        size = np.concatenate([n_less, n_equal[on], n_more])
+        depth = np.concatenate([depth, depth[on] + 8, depth])
         live = size > 1
         start, size, depth = start[live], size[live], depth[live]
         if len(start):
@@ -184,17 +189,22 @@ def sort_suffixes(text: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarr
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     new = np.ones(len(at), bool)
     order, start, size = multikey_quicksort(padded, at, depth) if depth else (np.arange(len(at)), np.zeros(1, np.int64), np.array([len(at)]))
-    raw = text.tobytes()
-    for a, k in zip(start.tolist(), size.tolist(), strict=True):
+    raw, rest = text.tobytes(), span - depth
+    place = _ranges(start, size) if len(start) else np.zeros(0, np.int64)
+    item = order[place]
+    items, begins = item.tolist(), (at[item] + depth).tolist()
+    sorted_, equal, a = [], [], 0
+    for k in size.tolist():
         trie = BlindTrie()
-        items = order[a : a + k]
-        for i, p in zip(items.tolist(), (at[items] + depth).tolist(), strict=True):
-            trie.insert(raw[p : p + span - depth], i)
-        put = a
+        for i, p in zip(items[a : a + k], begins[a : a + k], strict=True):
+            trie.insert(raw[p : p + rest], i)
         for same in trie.ordered():
-            order[put : put + len(same)] = same
-            new[put + 1 : put + len(same)] = False
-            put += len(same)
+            sorted_ += same
+            if len(same) > 1:
+                equal += range(len(sorted_) - len(same) + 1, len(sorted_))
+        a += k
+    order[place] = np.array(sorted_, np.int64)
+    new[place[np.array(equal, np.int64)]] = False
     return order, new
 
 
@@ -272,12 +282,17 @@ def _piece_names(raw: np.ndarray, cut: np.ndarray, step: int = 8192) -> tuple[np
     return one, two
 
 
-def _changes(*keys: np.ndarray) -> np.ndarray:
-    """True where any of the sorted keys differs from the one before."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
+def _by_name(owner: np.ndarray, one: np.ndarray, two: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by `before`, name and owner, True where a name begins); the second half is sorted only where first halves collide."""
+    for keys in ((owner, one, *before), (owner, two, one, *before)):
+        order = np.lexsort(keys)
+        x, y = one[order], two[order]
+        new = np.ones(len(order), bool)
+        new[1:] = x[1:] != x[:-1]
+        other = np.append(False, y[1:] != y[:-1])[: len(order)]
+        if not (other & ~new).any():
+            break
+    return order, new | other
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
@@ -359,8 +374,8 @@ def _send_pieces(span: int, buckets: int):
             length = end - a
             cut = np.cumsum(np.append(0, length))
             raw = data[np.arange(cut[-1]) + np.repeat(a - cut[:-1], length)]
-            order = np.lexsort((ids[row + doc], two, one))
-            first = np.flatnonzero(_changes(one[order], two[order]))
+            order, new = _by_name(ids[row + doc], one, two)
+            first = np.flatnonzero(new)
             lead = order[first]
             many = np.diff(np.append(first, len(order))) > 1
             got.append((name[lead], one[lead], two[lead], ids[row + doc[lead]], many, length[lead], _slices(raw, cut, lead)))
@@ -368,8 +383,8 @@ def _send_pieces(span: int, buckets: int):
             return _SENT.empty_table()
         name, one, two, owner, many, length, raw = (np.concatenate(x) for x in zip(*got, strict=True))
         cut = np.cumsum(np.append(0, length))
-        order = np.lexsort((owner, two, one, name))
-        first = np.flatnonzero(_changes(one[order], two[order]))
+        order, new = _by_name(owner, one, two, name)
+        first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(order)))
         many = np.logical_or.reduceat(many[order], first) | (size > 1)
         lead = order[first]
@@ -395,8 +410,7 @@ def _sort_bucket(span: int):
         owner, length, raw = (np.concatenate([s[i] for s in sent]) for i in (1, 3, 4))
         cut = np.cumsum(np.append(0, length.astype(np.int64)))
         one, two = _piece_names(raw, cut)
-        order = np.lexsort((owner, two, one))
-        new = _changes(one[order], two[order])
+        order, new = _by_name(owner, one, two)
         lead = order[np.flatnonzero(new)]  # distinct pieces, by name; the smallest owner leads
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
