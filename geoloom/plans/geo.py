@@ -60,6 +60,31 @@ def _xy(gf: GeoFrame, g: GeoColumn, digits: int = 6) -> DataFrame:
     return gf.df.select("id", F.posexplode(c).alias("pos", "p")).select("id", "pos", (F.round("p.x", digits) + 0.0).alias("x"), (F.round("p.y", digits) + 0.0).alias("y"))
 
 
+def zone31(spark, sf) -> GeoFrame:
+    """All points, with longitudes drawn together into UTM zone 31 (0 to 6 degrees)."""
+    gf = points(spark, sf, "EPSG:4326")
+    p = F.col("geometry")
+    return _tag(gf.df.select("id", native.point(p["x"] / 60 + 3, p["y"]).alias("geometry")), "point", "EPSG:4326")
+
+
+def _utm(s, d) -> DataFrame:
+    gf = zone31(s, d)
+    return _xy(gf, gf.geometry.to_crs(to_crs="EPSG:32631"), 3).drop("pos")
+
+
+def _utm_sql() -> str:
+    """The series of Krueger written out, on WGS84: third flattening, conformal latitude, four harmonics."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), (f * (2 - f)) ** 0.5
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    east = " + ".join(f"{v!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(a, 1))
+    north = " + ".join(f"{v!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(a, 1))
+    conformal = f"SELECT id, radians(x / 60) AS lam, tan(radians(y)) * sqrt(1 + s * s) - s * sqrt(1 + pow(tan(radians(y)), 2)) AS t FROM (SELECT *, sinh({e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(y)))) AS s FROM points)"
+    sphere = f"SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM ({conformal})"
+    return f"WITH {P} SELECT id, {_r(f'500000 + {radius!r}::DOUBLE * (eta + {east})', 3)} AS x, {_r(f'{radius!r}::DOUBLE * (xi + {north})', 3)} AS y FROM ({sphere})"
+
+
 P = "points AS (SELECT event_id AS id, CAST((event_id*7919)%3600 AS DOUBLE)/CAST(10 AS DOUBLE) - CAST(180 AS DOUBLE) AS x, CAST((event_id*104729)%1700 AS DOUBLE)/CAST(10 AS DOUBLE) - CAST(85 AS DOUBLE) AS y FROM events)"
 L = "lines AS (SELECT l_orderkey AS id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber*10 + l_partkey%10 AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq FROM lineitem), segs AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY seq) AS px, lag(y) OVER (PARTITION BY id ORDER BY seq) AS py FROM lines)"
 X = "boxes AS (SELECT p_partkey AS id, CAST(p_partkey%100 AS DOUBLE) AS x0, CAST(floor(p_partkey/CAST(100 AS DOUBLE)) AS DOUBLE) AS y0, CAST(p_size AS DOUBLE) AS w, CAST(p_size%7+1 AS DOUBLE) AS h, CASE WHEN p_size>=10 AND p_size%7>=2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hole FROM part)"
@@ -157,7 +182,8 @@ QUERIES = {
     "geo_geodesic": (lambda s, d: _geodesic(s, d, "geodesic"), None),
     "geo_vincenty": (lambda s, d: _geodesic(s, d, "vincenty"), None),
     "geo_to_crs_3857": (lambda s, d: _xy(gf := points(s, d, "EPSG:4326"), gf.geometry.to_crs(to_crs="EPSG:3857"), 3).drop("pos"), f"WITH {P} SELECT id, {_r('x*pi()/180*6378137', 3)} AS x, {_r('ln(tan(pi()/4 + y*pi()/360))*6378137', 3)} AS y FROM points"),
-    "geo_to_crs_utm": (lambda s, d: _xy(gf := points(s, d, "EPSG:4326"), gf.geometry.to_crs(to_crs="EPSG:32631").to_crs(to_crs="EPSG:4326"), 4).drop("pos").where("x > -40 and x < 46"), f"WITH {P} SELECT id, {_r('x', 4)} AS x, {_r('y', 4)} AS y FROM points WHERE x > -40 AND x < 46"),
+    "geo_to_crs_utm": (_utm, _utm_sql()),
+    "geo_to_crs_utm_back": (lambda s, d: _xy(gf := zone31(s, d), gf.geometry.to_crs(to_crs="EPSG:32631").to_crs(to_crs="EPSG:4326")).drop("pos"), f"WITH {P} SELECT id, {_r('x/60 + 3')} AS x, {_r('y')} AS y FROM points"),
     "geo_wkb": (lambda s, d: _codec(s, d, "wkb"), _wkb_sql()),
     "geo_wkt": (lambda s, d: _codec(s, d, "wkt"), _wkt_sql()),
     "geo_total_bounds": (lambda s, d: points(s, d).total_bounds(), f"WITH {P} SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM points"),

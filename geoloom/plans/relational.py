@@ -14,33 +14,33 @@ def _t(s, d, name):
 
 def _join(how):
     def run(s, d):
-        n, r = _t(s, d, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name", "n_regionkey"), _t(s, d, "region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        # Shifted keys leave rows of both sides without a partner.
+        n, r = _t(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), _t(s, d, "region").select((F.col("r_regionkey") + 1).alias("n_regionkey"), "r_name")
         return n.join(r, "n_regionkey", how)
 
     return run
 
 
 def _join_sql(how: str, cols: str = "n_regionkey, n_nationkey, n_name, r_name") -> str:
-    return f"SELECT {cols} FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 20) n {how} JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region WHERE r_regionkey > 0) r USING (n_regionkey)"
+    return f"SELECT {cols} FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation) n {how} JOIN (SELECT r_regionkey + 1 AS n_regionkey, r_name FROM region) r USING (n_regionkey)"
 
 
 def _asof(s, d):
     e = _t(s, d, "events").select("event_id", "user_id", "event_type", "ts")
-    left = e.where("event_type = 'purchase' OR event_id % 3 = 0").select("event_id", "user_id", "ts")
-    right = e.where("event_id % 3 = 1").groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
-    return asof(left, right, "ts", "user_id").select("event_id", "user_id", "seen")
+    right = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
+    return asof(e.select("event_id", "user_id", "ts"), right, "ts", "user_id").select("event_id", "user_id", "seen")
 
 
 def _asof_all(s, d):
-    e = _t(s, d, "events").select("event_id", "ts")
-    right = e.where("event_id % 50 = 1").groupBy("ts").agg(F.max("event_id").alias("seen"))
-    return asof(e.where("event_id % 3 = 0"), right, "ts").select("event_id", "seen")
+    e = _t(s, d, "events")
+    right = e.where("event_type = 'purchase'").groupBy("ts").agg(F.max("event_id").alias("seen"))
+    return asof(e.select("event_id", "ts"), right, "ts").select("event_id", "seen")
 
 
 def _rolling(s, d):
     """Count and largest id of the half hour up to each event of a user."""
     w = W.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-1800, 0)
-    return _t(s, d, "events").where("user_id < 50").select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.max("event_id").over(w).alias("hi"))
+    return _t(s, d, "events").select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.max("event_id").over(w).alias("hi"))
 
 
 def _agg(s, d):
@@ -70,7 +70,7 @@ QUERIES = {
     "rel_join_anti": (_join("left_anti"), _join_sql("ANTI", "n_regionkey, n_nationkey, n_name")),
     "rel_join_cross": (lambda s, d: _t(s, d, "nation").select("n_nationkey").crossJoin(_t(s, d, "region").select("r_regionkey")), "SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region"),
     "rel_join_range": (lambda s, d: (n := _t(s, d, "nation")).select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("r")).join(n.select(F.col("n_nationkey").alias("b"), F.col("n_regionkey").alias("r")), "r").where("b > a AND b <= a + 6").select("a", "b"), "SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND y.n_nationkey > x.n_nationkey AND y.n_nationkey <= x.n_nationkey + 6"),
-    "rel_join_asof": (_asof, "SELECT l.event_id, l.user_id, r.seen FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0) l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts"),
+    "rel_join_asof": (_asof, "SELECT l.event_id, l.user_id, r.seen FROM events l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS seen FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts"),
     "rel_agg": (_agg, "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS s, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n, round(stddev(l_quantity), 6) AS sd, round(variance(l_quantity), 6) AS var, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.25) AS q25, count(DISTINCT l_partkey) AS parts, arg_min(l_orderkey, {'q': l_quantity, 'o': l_orderkey}) AS first_order, arg_max(l_orderkey, {'q': l_quantity, 'o': l_orderkey}) AS last_order FROM lineitem GROUP BY 1, 2"),
     "rel_distinct": (lambda s, d: _t(s, d, "orders").select("o_orderstatus", "o_orderpriority").distinct(), "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders"),
     "rel_n_unique": (lambda s, d: _t(s, d, "orders").groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("n")), "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1"),
@@ -96,9 +96,9 @@ QUERIES = {
     "rel_math": (lambda s, d: _t(s, d, "part").select("p_partkey", F.round(F.sqrt("p_retailprice"), 6).alias("r"), F.floor("p_retailprice").cast("long").alias("f"), F.abs(F.col("p_size") - 25).alias("a"), F.round(F.log("p_retailprice"), 6).alias("l"), (F.col("p_size") % 7).alias("m")), "SELECT p_partkey, round(sqrt(p_retailprice), 6) AS r, CAST(floor(p_retailprice) AS BIGINT) AS f, abs(p_size - 25) AS a, round(ln(p_retailprice), 6) AS l, p_size % 7 AS m FROM part"),
     "rel_json": (lambda s, d: _ev(s, d).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "rel_sample": (lambda s, d: _ev(s, d).sample(fraction=0.1, seed=7).select("event_id"), None),
-    "rel_join_asof_all": (_asof_all, "SELECT l.event_id, r.seen FROM (SELECT event_id, ts FROM events WHERE event_id % 3 = 0) l ASOF LEFT JOIN (SELECT ts, max(event_id) AS seen FROM events WHERE event_id % 50 = 1 GROUP BY ts) r ON l.ts >= r.ts"),
+    "rel_join_asof_all": (_asof_all, "SELECT l.event_id, r.seen FROM events l ASOF LEFT JOIN (SELECT ts, max(event_id) AS seen FROM events WHERE event_type = 'purchase' GROUP BY ts) r ON l.ts >= r.ts"),
     "rel_sliding_window": (lambda s, d: _ev(s, d).groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - k * INTERVAL '30 minutes' AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1"),
-    "rel_rolling_time": (_rolling, "SELECT event_id, count(*) OVER w AS n, max(event_id) OVER w AS hi FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE user_id < 50) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW)"),
+    "rel_rolling_time": (_rolling, "SELECT event_id, count(*) OVER w AS n, max(event_id) OVER w AS hi FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW)"),
     "rel_approx_within": (lambda s, d: _t(s, d, "orders").groupBy("o_orderstatus").agg((F.abs(F.approx_count_distinct("o_custkey", 0.02) / F.countDistinct("o_custkey") - 1) < 0.1).alias("close")), "SELECT o_orderstatus, true AS close FROM orders GROUP BY 1"),
     "rel_sample_within": (lambda s, d: (e := _ev(s, d).select("event_id")).sample(fraction=0.1, seed=7).join(e, "event_id", "left_semi").agg(F.count(F.lit(1)).between(F.lit(e.count() * 0.05), F.lit(e.count() * 0.15)).alias("close"), (F.count(F.lit(1)) == F.countDistinct("event_id")).alias("once")), "SELECT true AS close, true AS once"),
 }
