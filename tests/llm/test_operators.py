@@ -309,6 +309,21 @@ def test_multikey_quicksort_parts_by_symbols(monkeypatch):
         assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
 
 
+def test_names_that_collide_in_one_half_stay_apart(spark):
+    u = lambda *x: np.array(x, np.uint64)
+    one, two, owner = u(5, 5, 5, 5, 7), u(2, 1, 2, 1, 1), np.array([4, 3, 2, 1, 0])
+    order, new = suffix_dedup._by_name(owner, one, two)
+    assert [(int(one[i]), int(two[i]), int(owner[i])) for i in order] == [(5, 1, 1), (5, 1, 3), (5, 2, 2), (5, 2, 4), (7, 1, 0)]
+    assert new.tolist() == [True, False, True, False, True]
+    order, new = suffix_dedup._by_name(owner, one, u(1, 1, 1, 1, 1))
+    assert owner[order].tolist() == [1, 2, 3, 4, 0] and new.tolist() == [True, False, False, False, True]
+    assert [len(x) for x in suffix_dedup._by_name(owner[:0], one[:0], two[:0])] == [0, 0]
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for span in (15, 136):
+        with pytest.raises(ValueError, match="span"):
+            suffix_dedup.dedup(docs, span)
+
+
 def test_pieces_have_two_names_and_one_bucket():
     rng = np.random.default_rng(7)
     data = rng.integers(0, 256, 100_000).astype(np.uint8)
