@@ -29,6 +29,8 @@ def empty(geom) -> bool:
         return all(not r for r in c)
     if kind == "multipolygon":
         return all(not r for p in c for r in p)
+    if kind == "multipoint":
+        return all(empty(("point", p)) for p in c)
     return not c
 
 

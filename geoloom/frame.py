@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from .errors import CrsError, GeometryTypeError, InvalidOperationError, NotFoundError, ShapeError
 from .functions import crs as crs_functions
-from .functions import kernels, native
+from .functions import kernels, native, ragged
 from .types import GeoType
 
 PLAIN = GeoType("wkb")
@@ -71,11 +71,15 @@ class GeoOps:
         s = self.series
         if s.type.typed:
             return getattr(native, name)(s.column, s.type.kind)
+        if s.type.kind == "wkb":
+            return ragged.column(name, s.column)
         kernel = {"geom_type": kernels.title, "is_empty": _empty}.get(name) or getattr(kernels, name)
         return kernels.column(kernel, returns, s.column, s.type.kind)
 
     def _map(self, matrix, origin=None) -> GeoColumn:
         s = self.series
+        if s.type.kind == "wkb":
+            return self._out(ragged.affine(s.column, matrix, origin))
         return self._out(kernels.column(lambda g: kernels.affine(g, matrix, origin), "wkb", s.column, s.type.kind))
 
     def affine_transform(self, matrix) -> GeoColumn:
@@ -114,6 +118,8 @@ class GeoOps:
         s, m = self.series, kernels.method_name(method)
         if m == "haversine" and s.type.typed:
             return native.haversine_length(s.column, s.type.kind)
+        if s.type.kind == "wkb":
+            return ragged.geodesic(s.column, m)
         return kernels.geodesic_column(s.column, s.type.kind, m)
 
     @property
@@ -166,6 +172,8 @@ class GeoOps:
             raise CrsError(f"distance between {a.type.crs} and {b.type.crs}")
         if a.type.kind == b.type.kind == "point":
             return native.point_distance(a.column, b.column)
+        if a.type.kind == b.type.kind == "wkb":
+            return ragged.distance(a.column, b.column)
         return kernels.column(kernels.distance, "double", a.column, a.type.kind, (b.column, b.type.kind))
 
     def _axis(self, i: int) -> Column:
@@ -174,6 +182,8 @@ class GeoOps:
             return (native.x, native.y)[i](s.column, s.type.kind)
         if s.type.kind not in ("wkb", "wkt"):
             raise GeometryTypeError(f"x and y are defined for points, not for {s.type.kind}")
+        if s.type.kind == "wkb":
+            return ragged.column("xy"[i], s.column)
         return kernels.column(lambda g: kernels.only_point(g, i), "double", s.column, s.type.kind)
 
     @property

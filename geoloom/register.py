@@ -3,52 +3,33 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import codec
-from .functions import kernels
-
-_FUNCTIONS = {
-    "st_area": (kernels.area, "double"),
-    "st_length": (kernels.length, "double"),
-    "st_geodesic_length": (kernels.geodesic_length, "double"),
-    "st_centroid": (kernels.centroid, "wkb"),
-    "st_convex_hull": (kernels.convex_hull, "wkb"),
-    "st_envelope": (kernels.envelope, "wkb"),
-    "st_exterior": (kernels.exterior, "wkb"),
-    "st_geom_type": (kernels.title, "string"),
-    "st_is_empty": (codec.empty, "boolean"),
-    "st_is_ring": (kernels.is_ring, "boolean"),
-    "st_x": (lambda g: kernels.only_point(g, 0), "double"),
-    "st_y": (lambda g: kernels.only_point(g, 1), "double"),
-    "st_as_text": (codec.to_wkt, "string"),
-}
-
-
-def _over_wkb(f, wkb: bool):
-    def run(s: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None:
-                return None
-            got = f(codec.from_wkb(bytes(v)))
-            return codec.to_wkb(got) if wkb and got is not None else got
-
-        return pd.Series([one(v) for v in s], dtype=object)
-
-    return run
+from .functions import ragged
+
+_NAMES = {f"st_{name}": name for name in ragged.OPERATORS}
+
+
+def _as_text(b: ragged.Batch) -> list:
+    return [codec.to_wkt(b.geometry(i)) for i in range(b.n)]
 
 
 def register(spark: SparkSession) -> None:
-    for name, (f, returns) in _FUNCTIONS.items():
-        spark.udf.register(name, F.pandas_udf(_over_wkb(f, returns == "wkb"), "binary" if returns == "wkb" else returns))
+    for name, operator in _NAMES.items():
+        returns, f = ragged.OPERATORS[operator]
+        spark.udf.register(name, ragged.function(f, returns))
+    spark.udf.register("st_as_text", ragged.function(_as_text, "string"))
 
     def from_text(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else codec.to_wkb(codec.from_wkt(v)))
 
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernels.distance(codec.from_wkb(bytes(x)), codec.from_wkb(bytes(y))) for x, y in zip(a, b, strict=True)], dtype=object)
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return ragged.distances(a, b)
 
     spark.udf.register("st_geom_from_text", F.pandas_udf(from_text, "binary"))
-    spark.udf.register("st_distance", F.pandas_udf(distance, "double"))
+    spark.udf.register("st_distance", distance)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION st_point_distance(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) RETURNS DOUBLE RETURN sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import codec
 from ..errors import ComputeError, InvalidOperationError, NotFoundError
 from ..frame import GeoColumn, GeoFrame
-from ..functions import kernels, native
+from ..functions import kernels, native, ragged
 from ..types import GeoType
 from .arrow import from_arrow
 
@@ -251,6 +251,8 @@ def read_file(spark: SparkSession, path: str, *, layer=None, encoding: str | Non
         box = [float(v) for v in bbox]
         if kind.typed:
             df = df.where(native.intersects_box(F.col(geometry), kind.kind, *box))
+        elif kind.kind == "wkb":
+            df = df.where(ragged.meets_box(F.col(geometry), box))
         else:
             x0, y0, x1, y1 = box
             frame = ("polygon", [[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]])
