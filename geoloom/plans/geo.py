@@ -149,6 +149,26 @@ def _geodesic(spark, sf, method):
     return gf.df.select("id", F.round(g.geo.geodesic_length(method), 3).alias("length"))
 
 
+def _blobs(gf: GeoFrame) -> GeoFrame:
+    """The same geometries as WKB, so that the batch operators run instead of the native ones."""
+    g = gf.geometry
+    return _tag(gf.df.select("id", crs.encode(g.column, g.type.kind).alias("geometry")), "wkb")
+
+
+def _wkb_boxes(spark, sf) -> DataFrame:
+    gf = _blobs(boxes(spark, sf))
+    geo = gf.geometry.geo
+    turned = geo.scale(2.0, -0.5).geo
+    return _value(gf, r_area=geo.area, r_length=geo.euclidean_length(), r_x=geo.centroid.geo.x, r_y=geo.centroid.geo.y, r_hull=geo.convex_hull().geo.area, r_box=geo.envelope().geo.area, r_scaled=turned.area, r_cx=turned.centroid.geo.x, e=geo.is_empty(), t=geo.geom_type)
+
+
+def _wkb_points(spark, sf) -> DataFrame:
+    gf = _blobs(points(spark, sf))
+    geo = gf.geometry.geo
+    moved = geo.translate(3.0, 4.0)
+    return _value(gf, x=geo.x, y=geo.y, r_moved=geo.distance(moved), r_north=moved.geo.y)
+
+
 def _flagship(spark, sf):
     """Distance of suppliers to a fixed place, by nation."""
     s = _t(spark, sf, "supplier").select("s_nationkey", native.point(F.expr("CAST(s_suppkey*37%360 AS DOUBLE) - 180"), F.expr("CAST(s_suppkey*17%170 AS DOUBLE) - 85")).alias("geometry", metadata=GeoType("point").metadata()))
@@ -185,6 +205,9 @@ QUERIES = {
     "geo_to_crs_utm": (_utm, _utm_sql()),
     "geo_to_crs_utm_back": (lambda s, d: _xy(gf := zone31(s, d), gf.geometry.to_crs(to_crs="EPSG:32631").to_crs(to_crs="EPSG:4326")).drop("pos"), f"WITH {P} SELECT id, {_r('x/60 + 3')} AS x, {_r('y')} AS y FROM points"),
     "geo_wkb": (lambda s, d: _codec(s, d, "wkb"), _wkb_sql()),
+    "geo_wkb_boxes": (_wkb_boxes, f"WITH {X} SELECT id, {_r('w*h - hole')} AS area, {_r('2*(w+h) + 4*hole')} AS length, {_r('(w*h*(x0+w/2) - hole*(x0+1.5)) / (w*h - hole)')} AS x, {_r('(w*h*(y0+h/2) - hole*(y0+1.5)) / (w*h - hole)')} AS y, {_r('w*h')} AS hull, {_r('w*h')} AS box, {_r('w*h - hole')} AS scaled, {_r('x0 + w/2 + 2*((w*h*(x0+w/2) - hole*(x0+1.5)) / (w*h - hole) - x0 - w/2)')} AS cx, false AS e, 'Polygon' AS t FROM boxes"),
+    "geo_wkb_points": (_wkb_points, f"WITH {P} SELECT id, x, y, 5.0::DOUBLE AS moved, {_r('y + 4')} AS north FROM points"),
+    "geo_wkb_lengths": (lambda s, d: _value(gf := _blobs(lines(s, d)), r_length=gf.geometry.geo.euclidean_length()), f"WITH {L} SELECT id, {_r('coalesce(sum(sqrt((x-px)*(x-px)+(y-py)*(y-py))), 0)')} AS length FROM segs GROUP BY id"),
     "geo_wkt": (lambda s, d: _codec(s, d, "wkt"), _wkt_sql()),
     "geo_total_bounds": (lambda s, d: points(s, d).total_bounds(), f"WITH {P} SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM points"),
     "read_bbox": (lambda s, d: _value(gf := GeoFrame(points(s, d).df.where(native.intersects_box(F.col("geometry"), "point", -20, -10, 30, 40))), x=gf.geometry.geo.x), f"WITH {P} SELECT id, x FROM points WHERE x BETWEEN -20 AND 30 AND y BETWEEN -10 AND 40"),
