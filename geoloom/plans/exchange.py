@@ -17,7 +17,7 @@ from ..frame import GeoColumn, GeoFrame
 from ..functions import crs, native
 from ..register import register
 from ..session import put, shared_folder
-from ..sources import from_arrow, from_data, from_geopandas, from_xy, read_file, to_arrow, to_geopandas, write_geojson
+from ..sources import from_arrow, from_data, from_geopandas, from_xy, read_file, to_arrow, to_geopandas, write_arrow, write_geojson
 from ..streaming import windowed_bounds
 from ..types import DEPTH, GeoType
 from .geo import BP, L, P, _t, boxes, lines, mixed, points
@@ -99,11 +99,7 @@ def _shape(spark, sf) -> str:
 
 def _ipc(spark, sf) -> str:
     path = _folder(spark, ".arrow")
-    sink = pa.BufferOutputStream()
-    table = to_arrow(boxes(spark, sf))
-    with pa.ipc.new_file(sink, table.schema) as w:
-        w.write_table(table)
-    put(spark, path, sink.getvalue().to_pybytes())
+    write_arrow(boxes(spark, sf), path)
     return path
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import struct
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.pandas.types import _check_arrow_table_timestamps_localize, from_arrow_schema, from_arrow_type, to_arrow_schema
 
 from .. import codec
-from ..errors import InvalidOperationError
+from ..errors import InvalidOperationError, NotFoundError
 from ..frame import GeoColumn, GeoFrame
 from ..functions import crs as codecs
 from ..types import GeoType, from_arrow_field
 
+PART_BYTES = 16 << 20  # of rows in one Arrow file
+BATCH_ROWS = 10_000
 _WIDER = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0), pa.binary_view(): pa.binary(), pa.string_view(): pa.string()}
 
 
@@ -38,11 +42,15 @@ def from_arrow(spark: SparkSession, data: pa.Table | pa.Array | pa.ChunkedArray,
     if not isinstance(data, pa.Table):
         f = field or pa.field("geometry", data.type)
         data = pa.table([pa.array(range(len(data)), pa.int64()), data], pa.schema([pa.field("index", pa.int64()), f.with_name(f.name or "geometry")]))
+    table = _accepted(data)
+    return _tagged_frame(spark.createDataFrame(table), table.schema)
+
+
+def _tagged_frame(df: DataFrame, fields: pa.Schema) -> GeoFrame | DataFrame:
+    """A frame of these Arrow fields with its geometry columns tagged, positions as structs."""
     from ..types import DEPTH
 
-    table = _accepted(data)
-    types = {f.name: from_arrow_field(f) for f in table.schema}
-    df = spark.createDataFrame(table)
+    types = {f.name: from_arrow_field(f) for f in fields}
     cols = []
     for c in df.columns:
         t = types[c]
@@ -68,20 +76,87 @@ def _interleaved(array: pa.Array, depth: int, dim: str) -> pa.Array:
 
 def to_arrow(frame: GeoFrame | DataFrame) -> pa.Table:
     """Arrow table with extension metadata on tagged columns; interleaved layouts are restored."""
+    df = frame.df if isinstance(frame, GeoFrame) else frame
+    return _tagged_table(df.toArrow(), [GeoType.from_field(f) for f in df.schema.fields])
+
+
+def _tagged_table(table: pa.Table, types: list[GeoType | None]) -> pa.Table:
     from ..types import DEPTH
 
-    df = frame.df if isinstance(frame, GeoFrame) else frame
-    table = df.toArrow()
-    for i, f in enumerate(df.schema.fields):
-        t = GeoType.from_field(f)
+    for i, t in enumerate(types):
         if t is not None:
             col = table.column(i)
             if t.typed and t.layout == "interleaved":
                 col = _interleaved(col, DEPTH[t.kind], t.dim)
-            table = table.set_column(i, pa.field(f.name, col.type, True, t.metadata()), col)
+            table = table.set_column(i, pa.field(table.schema.names[i], col.type, True, t.metadata()), col)
     return table
 
 
+_MAGIC = b"ARROW1"  # ends an IPC file
+
+
+def _file_bytes(tables: list[pa.Table], schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, schema) as w:
+        for t in tables:
+            w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def write_arrow(frame: GeoFrame | DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+    """Arrow IPC files of about part_bytes in the folder `path`, written by the tasks; one of them has the fields and no rows.
+
+    Spark's text writer puts one value in a file and its line separator after it, here the magic that
+    ends each IPC file.
+    """
+    df = frame.df if isinstance(frame, GeoFrame) else frame
+    types = [GeoType.from_field(f) for f in df.schema.fields]
+    head = to_arrow(df.limit(0))
+    schema = head.schema
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            t = _tagged_table(pa.Table.from_batches([b]), types).cast(schema)
+            if held and size + t.nbytes > part_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([_file_bytes(held, schema)[: -len(_MAGIC)]], pa.binary())], ["content"])
+                held, size = [], 0
+            held.append(t)
+            size += t.nbytes
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([_file_bytes(held, schema)[: -len(_MAGIC)]], pa.binary())], ["content"])
+
+    empty = df.sparkSession.createDataFrame([(bytearray(_file_bytes([], schema)[: -len(_MAGIC)]),)], "content binary")
+    files = empty.unionByName(df.mapInArrow(run, "content binary"))
+    files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", _MAGIC.decode()).option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_arrow(spark: SparkSession, path: str) -> GeoFrame | DataFrame:
+    """IPC files (one, or a folder of them), each opened by the task that reads it; the driver sees the fields alone."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    size = files.select(F.substring("content", 9, 8).alias("size")).first()
+    if size is None:
+        raise NotFoundError(f"no file at {path}")
+    mark, length = struct.unpack("<Ii", bytes(size["size"]))
+    head = files.select(F.substring("content", 9, 8 + (length if mark == 0xFFFFFFFF else mark)).alias("head")).first()["head"]
+    fields = _accepted(pa.ipc.read_schema(pa.py_buffer(bytes(head))).empty_table()).schema
+    ntz = spark.conf.get("spark.sql.timestampType") == "TIMESTAMP_NTZ"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    schema = from_arrow_schema(fields, prefer_timestamp_ntz=ntz)
+    plain = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for content in b.column("content"):
+                found = pa.ipc.open_file(content.as_buffer())
+                for i in range(found.num_record_batches):
+                    t = _accepted(pa.Table.from_batches([found.get_batch(i)]))
+                    t = _check_arrow_table_timestamps_localize(t, schema, True, zone)
+                    yield from t.select(plain.names).cast(plain).to_batches(BATCH_ROWS)
+
+    return _tagged_frame(files.select("content").mapInArrow(run, schema), fields)
+
+
 def from_pandas(spark: SparkSession, data) -> DataFrame:
     return spark.createDataFrame(data)
 
@@ -109,16 +184,39 @@ def from_geopandas(spark: SparkSession, data, force_wkb: bool = True) -> GeoFram
     return GeoFrame(df, name)
 
 
-def to_geopandas(frame: GeoFrame):
-    """pandas frame with the geometry last: geopandas geometries where it is installed, else WKB."""
+def _encoded(frame: GeoFrame) -> DataFrame:
+    """The frame with its geometry last, as WKB."""
     g = frame.geometry
-    rest = [c for c in frame.df.columns if c != frame.geometry_name]
-    out = frame.df.select(*rest, codecs.encode(g.column, g.type.kind).alias("geometry")).toPandas()
+    return frame.df.select(*[c for c in frame.df.columns if c != frame.geometry_name], codecs.encode(g.column, g.type.kind).alias("geometry"))
+
+
+def _geometries(out, crs: str | None):
+    """A pandas frame with geopandas geometries where it is installed, else as it is."""
     try:
         import geopandas
     except ImportError:
         return out
-    return geopandas.GeoDataFrame(out[rest], geometry=geopandas.GeoSeries.from_wkb(out["geometry"]), crs=frame.crs)
+    return geopandas.GeoDataFrame(out.drop(columns="geometry"), geometry=geopandas.GeoSeries.from_wkb(out["geometry"]), crs=crs)
+
+
+def to_geopandas(frame: GeoFrame):
+    """pandas frame with the geometry last: geopandas geometries where it is installed, else WKB. The driver holds all of it."""
+    return _geometries(_encoded(frame).toPandas(), frame.crs)
+
+
+def map_geopandas(frame: GeoFrame, f) -> GeoFrame:
+    """f over the frame's pandas (geopandas) frames, a batch at a time where the rows are; f keeps the columns. The geometry comes back last, as WKB."""
+    df, crs = _encoded(frame), frame.crs
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            out = f(_geometries(part, crs))
+            yield pd.DataFrame(out.to_wkb()) if hasattr(out, "to_wkb") else out
+
+    made = df.mapInPandas(run, df.schema)
+    return GeoFrame(made.withMetadata("geometry", GeoType("wkb", crs=crs).metadata()), "geometry")
 
 
 def from_xy(df: DataFrame, x: str, y: str, name: str = "geometry", crs: str | None = None) -> GeoFrame:

@@ -22,7 +22,7 @@ from ..errors import ComputeError, InvalidOperationError, NotFoundError
 from ..frame import GeoColumn, GeoFrame
 from ..functions import kernels, native, ragged
 from ..types import GeoType
-from .arrow import from_arrow
+from .arrow import read_arrow
 
 
 def _geojson(spark: SparkSession, path: str, lines: bool) -> DataFrame:
@@ -223,10 +223,7 @@ def read_file(spark: SparkSession, path: str, *, layer=None, encoding: str | Non
     elif ext == ".shp":
         df = _shapefile(spark, path, encoding)
     elif ext in (".arrow", ".feather", ".ipc"):
-        found = spark.read.format("binaryFile").load(path).select("content").first()
-        if found is None:
-            raise NotFoundError(f"no file at {path}")
-        got = from_arrow(spark, pa.ipc.open_file(pa.py_buffer(bytes(found["content"]))).read_all())
+        got = read_arrow(spark, path)
         df = got.df if isinstance(got, GeoFrame) else got
     elif ext in (".parquet", ".geoparquet"):
         df = spark.read.parquet(path)

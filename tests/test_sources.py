@@ -73,3 +73,33 @@ def test_datasets_and_pandas(spark):
         datasets.get_path("moon")
     with pytest.raises(InvalidOperationError):
         from_geopandas(spark, 3)
+
+
+def test_arrow_files_never_meet_on_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from geoloom.frame import GeoFrame
+    from geoloom.sources import write_arrow
+    from geoloom.types import GeoType
+
+    taken = []
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self, f=type(spark.range(0)).toArrow: (taken.append((t := f(self)).num_rows), t)[1])
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", DataFrame.toArrow, raising=False)
+    t = GeoType("point", "xy", "EPSG:4326", layout="interleaved")
+    p = F.struct(F.col("id").cast("double").alias("x"), (-F.col("id").cast("double")).alias("y"))
+    rows = spark.range(30_000, numPartitions=1).select("id", F.timestamp_seconds("id").alias("ts"), p.alias("geometry", metadata=t.metadata()))
+    path = str(tmp_path / "a.arrow")
+    write_arrow(GeoFrame(rows), path, part_bytes=100_000)
+    back = read_file(spark, path)
+    assert sum(taken) == 0
+    files = [f for f in (tmp_path / "a.arrow").iterdir() if f.name.startswith("part-") and f.stat().st_size]
+    assert len(files) == 4 and back.type == t
+    assert back.df.exceptAll(rows).isEmpty() and rows.exceptAll(back.df.select(rows.columns)).isEmpty()
+    import pyarrow as pa
+
+    assert sum(pa.ipc.open_file(str(f)).read_all().num_rows for f in files) == 30_000
+    write_arrow(rows.limit(0), str(tmp_path / "none.arrow"))
+    assert read_file(spark, str(tmp_path / "none.arrow")).df.count() == 0
+    one = read_file(spark, str(files[0]))
+    assert one.df.columns == ["id", "ts", "geometry"]
