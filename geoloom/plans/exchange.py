@@ -17,7 +17,7 @@ from ..frame import GeoColumn, GeoFrame
 from ..functions import crs, native
 from ..register import register
 from ..session import put, shared_folder
-from ..sources import from_arrow, from_data, from_geopandas, from_xy, read_file, to_arrow, to_geopandas, write_arrow, write_geojson
+from ..sources import from_arrow, from_data, from_xy, map_geopandas, read_file, to_arrow, write_arrow, write_geojson
 from ..streaming import windowed_bounds
 from ..types import DEPTH, GeoType
 from .geo import BP, L, P, _t, boxes, lines, mixed, points
@@ -159,11 +159,8 @@ def _arrow_wkb(spark, sf):
 
 
 def _pandas(spark, sf):
-    """A frame through GeoPandas where it is installed, else pandas with WKB."""
-    back = to_geopandas(points(spark, sf))
-    gf = from_geopandas(spark, back)
-    df = gf.df if isinstance(gf, GeoFrame) else gf
-    return _flat(GeoFrame(df, "geometry"), "id")
+    """A frame through GeoPandas where it is installed, else pandas with WKB, a batch at a time."""
+    return _flat(map_geopandas(points(spark, sf), lambda part: part), "id")
 
 
 def _data(spark, sf):

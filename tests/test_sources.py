@@ -103,3 +103,25 @@ def test_arrow_files_never_meet_on_the_driver(spark, tmp_path, monkeypatch):
     assert read_file(spark, str(tmp_path / "none.arrow")).df.count() == 0
     one = read_file(spark, str(files[0]))
     assert one.df.columns == ["id", "ts", "geometry"]
+
+
+def test_frames_through_pandas_stay_off_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from geoloom.frame import GeoFrame
+    from geoloom.plans import exchange
+    from geoloom.sources import map_geopandas
+    from geoloom.types import GeoType
+
+    p = F.struct(F.col("id").cast("double").alias("x"), (-F.col("id").cast("double")).alias("y"))
+    rows = spark.range(30_000, numPartitions=3).select("id", p.alias("geometry", metadata=GeoType("point", crs="EPSG:4326").metadata()))
+
+    def refused(*_):
+        raise AssertionError("the frame goes through the driver")
+
+    monkeypatch.setattr(type(rows), "toPandas", refused)
+    monkeypatch.setattr(exchange, "points", lambda *_: GeoFrame(rows))
+    back = map_geopandas(GeoFrame(rows), lambda part: part[part["id"] % 2 == 0])
+    assert back.crs == "EPSG:4326" and back.df.count() == 15_000
+    flat = exchange.QUERIES["io_pandas"][0](spark, None)
+    assert flat.where("x = id AND y = -id").count() == flat.count() == 30_000
