@@ -2,10 +2,11 @@
 
 One pass gives each document its rule counts; a forest of random splits (`trees` trees on `psi`
 rows each, Liu, Ting and Zhou 2008) is grown on the rule statistics of labelled good documents, and
-a document whose average path is short stands apart from them. The threshold on the anomaly score is
-calibrated on labelled rows of both kinds; it always keeps `keep_good` of the labelled good rows. The
-labelled sample is bounded by `cap` rows and SAMPLE_BYTES of text of each kind, one text a doc_id; the
-statistics cover all documents.
+a document whose average path is short stands apart from them. Each document's statistics are written
+once; the box that the trees split and the threshold come from all labelled rows, one text a doc_id. A
+tree's `psi` rows are the method's own random draw, here from trees * psi good rows chosen by a hash.
+Anomaly scores are multiples of 1 / LEVELS, so the counts of labelled rows by score give the threshold:
+the best balanced accuracy among those that keep `keep_good` of the good rows.
 
 Defined cases: null text has no words (all counts 0, so it fails the base rule); labels without a
 document, with a null or with another value are ignored; several labels of a doc_id count as the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import textcore as tc
 
-SAMPLE_BYTES = 16 << 20  # text of a kind in the labelled sample
+LEVELS = 1 << 16  # of the anomaly score
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -116,7 +117,7 @@ class Forest:
     info: dict = field(default_factory=dict)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score 2^(-mean path / norm), in (0, 1]."""
+        """Anomaly score 2^(-mean path / norm), in (0, 1], rounded up to a multiple of 1 / LEVELS."""
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for f, v, p in zip(self.feature, self.value, self.path, strict=True):
@@ -129,7 +130,7 @@ class Forest:
                 right = x[rows[live], k[live]] >= v[at[live]]
                 at[live] = 2 * at[live] + 1 + right
             total += p[at]
-        return 2.0 ** (-total / len(self.feature) / self.norm)
+        return np.ceil(2.0 ** (-total / len(self.feature) / self.norm) * LEVELS) / LEVELS
 
 
 def grow(x: np.ndarray, span: np.ndarray, trees: int = 100, psi: int = 256, limit: int = 10, seed: int = 3) -> Forest:
@@ -160,61 +161,85 @@ def grow(x: np.ndarray, span: np.ndarray, trees: int = 100, psi: int = 256, limi
     return Forest(feature, value, path, _depth(psi) or 1.0)
 
 
-def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, keep_good: float) -> Forest:
-    """The threshold with the best balanced accuracy among those that keep `keep_good` of the good rows."""
-    g, b = forest.score(good), forest.score(bad) if len(bad) else np.zeros(0)
-    floor = float(np.quantile(g, keep_good))
-    cuts = np.unique(np.concatenate([[floor], g[g >= floor], b[b >= floor]]))
-    if len(b):
-        gain = [((g <= c).mean() + (b > c).mean(), -c) for c in cuts]
-        forest.threshold = -max(gain)[1]
+def calibrate(forest: Forest, cuts: np.ndarray, good: np.ndarray, bad: np.ndarray, keep_good: float) -> Forest:
+    """The threshold from the numbers of good and bad rows at each score (in ascending order)."""
+    kept, caught = np.cumsum(good) / good.sum(), 1 - np.cumsum(bad) / max(1, bad.sum())
+    if bad.sum():
+        enough = np.flatnonzero(kept >= min(keep_good, kept[-1]))
+        best = enough[np.argmax(kept[enough] + caught[enough])]  # the lowest of equals
     else:
-        forest.threshold = float(g.max())
-    forest.info = {"good": len(g), "bad": len(b), "good_kept": float((g <= forest.threshold).mean()), "bad_caught": float((b > forest.threshold).mean()) if len(b) else 0.0}
+        best = np.flatnonzero(good)[-1]
+    forest.threshold = float(cuts[best])
+    forest.info = {"good": int(good.sum()), "bad": int(bad.sum()), "good_kept": float(kept[best]), "bad_caught": float(caught[best]) if bad.sum() else 0.0}
     return forest
 
 
-def sample(docs: DataFrame, labels: DataFrame, cap: int, max_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a bounded sample of labelled rows of each kind (good, bad); see `common.drawn_labelled`."""
-    given = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    got = common.drawn_labelled(docs, given, "quality", cap, max_bytes, "qual")
-    if not got:
-        return np.zeros((0, len(FEATURES))), np.zeros((0, len(FEATURES)))
-    parts = [statistics(d, o) for _, _, d, o in tc.chunks(pa.array([r["text"] for r in got], pa.large_string()))]
-    base, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    y = np.array([r["quality"] for r in got])
-    open_case = ~base_failed(base)  # the base rule has decided the others
-    return x[(y == 1) & open_case], x[(y == 0) & open_case]
-
-
 def base_failed(base: np.ndarray) -> np.ndarray:
     return (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
 
 
-def learn(good: np.ndarray, bad: np.ndarray, keep_good: float) -> Forest:
-    every = np.concatenate([good, bad])
-    return calibrate(grow(good, np.stack([every.min(axis=0), every.max(axis=0)])), good, bad, keep_good)
+_MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, u long, x array<double>"
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, len(FEATURES)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, cap: int = 3000, keep_good: float = 0.995) -> Forest | None:
-    good, bad = sample(docs, labels, cap)
-    return learn(good, bad, keep_good) if len(good) >= 8 else None
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, base counts, base_failed, u, x) of every document: u a hash of the text, x the features."""
 
+    def run(batches):
+        for b in batches:
+            base, x = np.zeros((len(b), 5), np.int64), np.zeros((len(b), len(FEATURES)))
+            for a, z, data, off in tc.chunks(b.column("text")):
+                base[a:z], x[a:z] = statistics(data, off)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(base[:, i]) for i in range(5)), pa.array(base_failed(base)), b.column("u"), _lists(x)], ["doc_id", *COUNTS, "base_failed", "u", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("u")).mapInArrow(run, _MEASURED)
 
-def quality(docs: DataFrame, labels: DataFrame, cap: int = 3000, keep_good: float = 0.995) -> DataFrame:
+
+def fit(stats: DataFrame, labels: DataFrame, keep_good: float = 0.995, trees: int = 100, psi: int = 256) -> Forest | None:
+    """The forest with its threshold, from all labelled rows that the base rule leaves open."""
+    given = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    one = stats.select("doc_id", "u", "base_failed", "x").join(given, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("u", "base_failed", "x")).alias("m"))
+    rows, folder = common.written(one.where(~F.col("m.base_failed")).select("doc_id", F.col("quality").cast("int").alias("quality"), "m.x"))
+    try:
+        ends = [f(F.col("x")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(len(FEATURES))]
+        got = rows.agg(F.count_if(F.col("quality") == 1).alias("good"), *ends).first()
+        if got["good"] < 8:
+            return None
+        span = np.array([[got[f"{name}{i}"] for i in range(len(FEATURES))] for name in ("low", "high")])
+        order = F.xxhash64(F.lit("qual"), "doc_id")
+        share = min(1.0, 1.1 * trees * psi / got["good"])
+        pool = rows.where((F.col("quality") == 1) & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))).select(order.alias("order"), "x").toArrow().sort_by("order")
+        forest = grow(_matrix(pool.column("x").combine_chunks()), span, trees, psi)
+        shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(shared.value.score(_matrix(b.column("x"))))], ["quality", "score"])
+
+        seen = rows.select("quality", "x").mapInArrow(run, "quality int, score double").groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).toArrow().sort_by("score")
+        return calibrate(forest, *(seen.column(c).to_numpy() for c in ("score", "good", "bad")), keep_good)
+    finally:
+        common.removed(rows.sparkSession, folder)
+
+
+def quality(docs: DataFrame, labels: DataFrame, keep_good: float = 0.995) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, anomaly) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, cap, keep_good))
+    stats, _ = common.written(measured(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, keep_good))
 
     def run(batches):
         forest = shared.value
         for b in batches:
-            base, anomaly = np.zeros((len(b), 5), np.int64), np.zeros(len(b))
-            for a, z, data, off in tc.chunks(b.column("text")):
-                base[a:z], x = statistics(data, off)
-                if forest is not None:
-                    anomaly[a:z] = forest.score(x)
-            failed = base_failed(base)
+            anomaly = forest.score(_matrix(b.column("x"))) if forest is not None else np.zeros(len(b))
+            failed = np.asarray(b.column("base_failed").to_numpy(zero_copy_only=False), bool)
             kept = ~failed & (anomaly <= (forest.threshold if forest else 1.0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(anomaly)], ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", *COUNTS, "base_failed")] + [pa.array(kept), pa.array(anomaly)], ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, anomaly double")
+    return stats.drop("u").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, anomaly double")

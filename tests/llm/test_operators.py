@@ -593,3 +593,18 @@ def test_chat_of_long_empty_and_wide_tables(spark):
     long = "</s> \\ word " * 200_000
     got = rows(chat.digests(chat.format_chat(spark.createDataFrame([(1, 0, "user", "", "x", "y"), (1, 1, "assistant", long, "x", "y")], schema))))
     assert (got[0]["n_turns"], got[0]["loss_chars"], got[0]["loss_sha256"]) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_quality_threshold_rests_on_all_labelled_rows(spark):
+    """More labelled rows than the trees draw: the threshold keeps its share of all of them, and the box holds the rarest."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9)))
+    texts = [" ".join(word() for _ in range(60)) + "." for _ in range(400)]
+    n = 4_000
+    rows = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.get(F.lit(texts), (F.col("id") % 400).cast("int")), F.when(F.col("id") == 777, " ! # ! # !").otherwise("")).alias("text"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    stats = quality.measured(rows)
+    forest = quality.fit(stats, labels, trees=2, psi=16)
+    assert forest.info["good"] == n and forest.info["good_kept"] == 1.0
+    kept = quality.quality(rows, labels).agg(F.count_if("kept").alias("k")).first()["k"]
+    assert kept == n
