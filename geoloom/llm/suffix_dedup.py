@@ -228,7 +228,10 @@ def smallest_owner(text: np.ndarray, start: np.ndarray, length: np.ndarray, owne
 def _first_seen(batches):
     """Each text once a task; later smaller doc_ids of it follow without the text."""
     seen: dict[tuple[int, int], list] = {}
+    schema = None
     for b in batches:
+        # One schema for all batches: the input's columns are not nullable, a later row's text is null.
+        schema = schema or pa.schema([pa.field(f.name, f.type) for f in b.schema])
         one, two, ids, block = (b.column(c).to_pylist() for c in ("h1", "h2", "doc_id", "block"))
         fresh = []
         for i, (x, y, d, k) in enumerate(zip(one, two, ids, block, strict=True)):
@@ -238,10 +241,10 @@ def _first_seen(batches):
                 fresh.append(i)
             elif d < had[1]:
                 had[1] = d
-        yield b.take(pa.array(fresh, pa.int64()))
+        yield pa.RecordBatch.from_arrays(b.take(pa.array(fresh, pa.int64())).columns, schema=schema)
     rest = [(k, x, y, low, None) for (x, y), (d, low, k) in seen.items() if low < d]
     if rest:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["block", "h1", "h2", "doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest, strict=True), schema, strict=True)], schema=schema)
 
 
 def _distinct(table):

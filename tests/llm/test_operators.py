@@ -280,6 +280,14 @@ def test_dedup_brute(spark):
     assert got == brute_dedup(docs, 50)
 
 
+def test_dedup_copies_whose_smaller_id_comes_later(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), 5)) for _ in range(30)) for _ in range(4)]
+    docs = [(i, texts[i % 4] + "!" * (i % 3)) for i in range(24)][::-1]  # in one task, so the first row of a text is not its smallest
+    got = {r["doc_id"]: tuple(r)[1:] for r in rows(suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)))}
+    assert got == brute_dedup(docs, 50)
+
+
 @given(st.lists(st.binary(min_size=50, max_size=50).map(lambda b: bytes(x % 2 for x in b)) | st.sampled_from([bytes(50), bytes(49) + b"\1", bytes(30) + b"\1" * 20]), min_size=1, max_size=12))
 def test_sorting_is_right(strings):
     text = np.frombuffer(b"".join(strings), np.uint8)
