@@ -106,6 +106,16 @@ def test_toxicity_held_out(spark):
     assert got[0, 1] <= 0.01 * (got[0, 1] + got[0, 0])
 
 
+def test_toxicity_is_calibrated_on_all_held_back_rows(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat(IF(id % 4 = 0, 'vile ', 'kind '), 'word', id % 7) AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    held = {r["doc_id"] for r in rows(toxicity.known(labels).where(toxicity.held_back()))}
+    m = toxicity.fit(docs.unionByName(docs), labels, cap=60)  # a repeated doc_id counts once
+    assert m.info["held"] == len(held) > 200
+    n, z, y = np.array([3, 1, 2, 4]), np.array([-2.0, 0.5, 1.0, 3.0]), np.array([0, 0, 1, 1])
+    assert np.allclose(toxicity.platt(z, y, n), toxicity.platt(np.repeat(z, n), np.repeat(y, n), np.ones(10)))
+
+
 def test_lm_base_is_exact(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in rows(d)}
