@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import collections
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +43,44 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _jvm_trimmed(spark: SparkSession) -> str:
+    """Have the driver's JVM return what its allocator holds free, as `jcmd System.trim_native_heap` does; its answer."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    # Through the interface: the server's own class is closed to reflection.
+    named = jvm.java.lang.Class.forName
+    kinds = [named(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    return str(invoke.invoke(server, array(jvm.java.lang.Object, command, "systemTrimNativeHeap", array(jvm.java.lang.Object), array(jvm.java.lang.String))))
+
+
+def given_back(spark: SparkSession) -> None:
+    """Return memory that the driver's Python and JVM have freed to the system; their allocators keep it otherwise.
+
+    A model's training in Python, and compilers and codecs in the JVM, leave some 100 MB each. Without
+    glibc, or on a JVM without the command, that part does nothing.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, TypeError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Py4JError):
+        _jvm_trimmed(spark)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder; survives lost executors."""
     shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    given_back(df.sparkSession)
+    return out
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:

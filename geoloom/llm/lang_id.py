@@ -208,6 +208,7 @@ def keep_identified(docs: DataFrame, per_lang: int = 600) -> DataFrame:
     Scores the rows in place, so no join is needed and rows with equal ids are judged by their own text.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_lang))
+    common.given_back(docs.sparkSession)
 
     def keep(batches):
         m = model.value

@@ -1,9 +1,12 @@
 """The pipeline against a brute-force version of its decisions."""
 
 import re
+from pathlib import Path
 
 import corpus_pipeline as cp
-from geoloom.llm import decontaminate, lang_id, pii
+import numpy as np
+import pytest
+from geoloom.llm import common, decontaminate, lang_id, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +44,23 @@ def test_columns_pass_through(spark):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert [n for n, _ in cp.STAGES] and decontaminate.WINDOW == 8
+
+
+def _anonymous_mb(pid="self"):
+    return int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+
+@pytest.mark.skipif(not Path("/proc/self/status").exists(), reason="needs /proc")
+def test_stage_returns_freed_memory_of_the_driver(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dict(cp.STAGES)["PII"](spark, docs, SF)  # what was held before is gone
+    small = [np.ones(8 << 10, np.uint8) for _ in range(16 << 10)]
+    last = np.ones(8 << 10, np.uint8)  # above the freed ones, so that the heap cannot shrink by itself
+    small = small[::64]
+    held = _anonymous_mb()
+    dict(cp.STAGES)["PII"](spark, docs, SF)
+    assert held - _anonymous_mb() > 64 and len(small) == 256 and last.all()
+
+
+def test_driver_jvm_returns_freed_memory(spark):
+    assert "rim native heap" in common._jvm_trimmed(spark)
